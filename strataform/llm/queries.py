@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import read_table
+from .line_dedup import line_digests
 from .ogg import media_digests
 from .packing import pack_documents
 from .secret_scan import secret_digests
+from .simhash import near_duplicates
 
 
 def _tokens(name: str) -> str:
@@ -23,6 +25,10 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +43,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokens("byte_bpe_50k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ogg_media, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing)
+    f.__name__: f for f in (op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
