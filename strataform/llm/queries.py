@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
-from .common import read_table
+from .common import fold, read_table
+from .langid import language_predictions
 from .line_dedup import line_digests
 from .ogg import media_digests
 from .packing import pack_documents
+from .quality import quality_predictions
 from .secret_scan import secret_digests
 from .simhash import near_duplicates
 
@@ -21,6 +23,11 @@ def _tokens(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_predictions(docs, labels, fold("doc_id", 3) == 1)
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
@@ -43,11 +50,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokens("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(read_table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op10_line_dedup)
+    f.__name__: f for f in (op2_quality_pu, op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
