@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .common import fold, read_table
+from .covertree import top_k_search
 from .langid import language_predictions
 from .line_dedup import line_digests
 from .ogg import media_digests
@@ -23,6 +25,10 @@ def _tokens(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
     return quality_predictions(docs, labels, fold("doc_id", 3) == 1)
@@ -59,6 +65,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_pu, op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_line_dedup)
+    f.__name__: f for f in (op1_cover_tree, op2_quality_pu, op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
