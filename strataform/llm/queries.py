@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .quality import quality_predictions
 from .secret_scan import secret_digests
 from .simhash import near_duplicates
+from .suffix_dedup import repeat_digests
 
 
 def _tokens(name: str) -> str:
@@ -42,6 +43,10 @@ def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +70,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cover_tree, op2_quality_pu, op3_ogg_media, op4_simhash_bk, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_line_dedup)
+    f.__name__: f for f in (op1_cover_tree, op2_quality_pu, op3_ogg_media, op4_simhash_bk, op5_suffix_dedup, op6_byte_bpe, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
