@@ -152,7 +152,7 @@ def solve(problem: Problem, trees: int = TREES, paths: int = PATHS) -> list[froz
             fit = [t for t in merged if not t or problem.sound(t, root)]
             states = sorted(fit, key=problem.cost)[:trees]
         covered = lambda t: all(x == root or any(e[1] == x for e in t) for x in problem.terminals)
-        out.update(t for t in states if covered(t))
+        out.update(t for t in states if t and covered(t))
     return sorted(out, key=problem.cost)
 
 

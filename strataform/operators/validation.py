@@ -43,7 +43,8 @@ def read_rules(triples: DataFrame) -> DataFrame:
     at = lambda p, kind=SH: triples.where(F.col("p") == kind + p)
     targets = at("targetClass").select(F.col("s").alias("shape"), F.col("o").alias("class"))
     properties = at("property").select(F.col("s").alias("shape"), F.col("o").alias("b"))
-    facts = triples.where(F.col("p").startswith(SH)).groupBy(F.col("s").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.replace("p", F.lit(SH), F.lit("")).alias("k"), F.col("o").alias("v")))).alias("f"))
+    each = triples.where(F.col("p").startswith(SH)).groupBy(F.col("s").alias("b"), F.replace("p", F.lit(SH), F.lit("")).alias("k")).agg(F.min("o").alias("v"))
+    facts = each.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))
     rules = properties.join(targets, "shape").join(facts, "b").where(F.col("f")["path"].isNotNull())
     severity = F.coalesce(F.replace(F.col("f")["severity"], F.lit(SH), F.lit("")), F.lit("Violation"))
     each = rules.select("shape", "class", F.col("f")["path"].alias("path"), severity.alias("severity"), F.col("f")["message"].alias("m"), F.explode("f").alias("kind", "arg"))
