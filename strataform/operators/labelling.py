@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import levenshtein_similarity
+from ..functions.text import extract_answer, levenshtein_similarity
 from ..functions.values import parse_decimal
 from .ranking import top_types
 
@@ -118,3 +118,19 @@ def ask_types(columns: DataFrame, ask: Callable[[str, list[str]], str | None], s
 
     said = columns.select("table_id", "col_index", "column", "values").mapInPandas(run, "table_id string, col_index int, prop string")
     return said.join(schema.select("class", "prop"), "prop").withColumn("score", F.lit(score)).select("table_id", "col_index", "class", "prop", "score")
+
+
+def ask_literals(tables: DataFrame, ask: Callable[[str, dict[str, list[str]]], str], questions: dict[str, str]) -> DataFrame:
+    """Answers about whole tables, such as a unit that no column holds: table_id, name, answer (null for not available).
+
+    ``tables`` has table_id and ``columns`` (map of a column's name to sampled values); ``questions`` maps a name to its text; ``ask(question, columns)``
+    returns the raw answer, from which the earliest quoted span counts.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(t, name, ask(question, {k: list(v) for k, v in dict(columns).items()})) for t, columns in zip(frame["table_id"], frame["columns"], strict=True) for name, question in questions.items()]
+            yield pd.DataFrame(rows, columns=["table_id", "name", "raw"])
+
+    raw = tables.select("table_id", "columns").mapInPandas(run, "table_id string, name string, raw string")
+    return raw.select("table_id", "name", extract_answer(F.col("raw")).alias("answer"))

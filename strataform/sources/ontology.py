@@ -128,3 +128,17 @@ def equivalent_property(metas: DataFrame) -> DataFrame:
     """The property that a meta-property of one edge from ``[source]`` to ``[target]`` stands for; null for longer ones."""
     edge = F.col("edges")[0]
     return metas.select("id", F.when((F.size("edges") == 1) & (edge["source"] == "[source]") & (edge["target"] == "[target]"), edge["prop"]).alias("prop"))
+
+
+def entity_views(entities: DataFrame) -> DataFrame:
+    """Entities as a search or an editor shows them: prefixed ids, and for each property its values as structs (kind, value)."""
+    wrap = lambda v: F.struct(F.when(v.rlike("^https?://"), "entity").otherwise("string").alias("kind"), F.coalesce(to_rel_uri(v), v).alias("value"))
+    props = F.map_from_entries(F.transform(F.map_entries("props"), lambda e: F.struct(F.coalesce(to_rel_uri(e["key"]), e["key"]).alias("key"), F.transform(e["value"], wrap).alias("value"))))
+    return entities.select(F.coalesce(to_rel_uri(F.col("uri")), F.col("uri")).alias("id"), "label", "description", "aliases", props.alias("props"))
+
+
+def property_views(properties: DataFrame) -> DataFrame:
+    """Properties with the datatype's name in an editor; others than the known ones are ``unknown``."""
+    names = {ANY_URI: "entity", XSD + "string": "string", XSD + "decimal": "decimal-number", XSD + "float": "decimal-number", XSD + "double": "decimal-number", XSD + "int": "integer-number", XSD + "integer": "integer-number"}
+    known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return properties.select("id", "uri", "label", "aliases", F.coalesce(F.try_element_at(known, F.col("datatype")), F.lit("unknown")).alias("datatype"))

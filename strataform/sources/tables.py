@@ -103,5 +103,9 @@ def open_store(spark: SparkSession, path: str, key: str, defaults: DataFrame | N
     stored = spark.read.parquet(path)
     if defaults is None:
         return stored
-    first, second = (stored, defaults) if stored_first else (defaults, stored)
+    return with_defaults(stored, defaults, key) if stored_first else with_defaults(defaults, stored, key)
+
+
+def with_defaults(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The rows of ``first``, and those of ``second`` whose key ``first`` lacks."""
     return first.unionByName(second.join(first.select(key), key, "left_anti"), allowMissingColumns=True)
