@@ -3,8 +3,8 @@
 1. Anchors. A 32-byte gram whose hash has six leading zero bits is an anchor; a window of ``length`` bytes without one has the
    leftmost least gram of the window instead. Either way a window's anchors depend on its bytes alone, so a
    window with an anchor that occurs once in the corpus occurs once itself. All anchors are counted.
-2. Segments. Every other window belongs to its rarest anchor. Neighbouring windows of one anchor are shipped as one segment, keyed by the
-   anchor's hash: equal windows have equal keys, so they meet. An anchor with over ``SPLIT`` occurrences is dealt to several shards.
+2. Segments. Every other window belongs to one of its anchors: the least by hash of those that aren't too frequent for one shard. Neighbouring windows of one anchor are shipped as one segment, keyed by the
+   anchor's hash: equal windows have equal keys, so they meet. A task ships equal segments once, with all their places. An anchor with over ``SPLIT`` occurrences is dealt to several shards.
 3. Suffix arrays. A shard's distinct segments are joined and sorted by Larsson and Sadakane's refinement in numpy: ranks by eight
    bytes, then doubled, with only unsorted groups sorted again. Common prefixes follow Kasai's rule that they shrink by at
    most one from a position to the next, in its form for arrays: prefixes are compared only where the byte before
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-GRAM, BITS, SPLIT, SHARD_BYTES = 32, 6, 512, 2_000_000
+GRAM, BITS, SPLIT, SHARD_BYTES, PIECE_BYTES = 32, 6, 512, 2_000_000, 16_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -96,9 +96,11 @@ def segments(raw: bytes, length: int, at: np.ndarray, counts: np.ndarray) -> lis
     owner = np.full(windows, -1, np.int64)
     n = often[spots]
     known = spots[n > 0]
-    # the rarest, then the least hash, then the leftmost is painted last; a unique anchor rules out all its windows
-    for p in known[np.lexsort((-known, ~h[known], -often[known]))]:
+    # painted last, so it stays: of anchors not too frequent for one shard (then of each doubling) the least hash, then the leftmost
+    grade = np.ceil(np.log2(np.maximum(often[known] / SPLIT, 1.0)))
+    for p in known[np.lexsort((-known, ~h[known], -grade))]:
         owner[max(0, p - reach + 1) : p + 1] = p
+    # a unique anchor rules out all its windows
     for p in spots[n == 0]:
         owner[max(0, p - reach + 1) : p + 1] = -1
     owner[bare] = np.where(often[instead] > 0, instead, -1)
@@ -206,18 +208,33 @@ def runs(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length], axis=1)
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Rows of (start, end) in any order as sorted maximal runs; runs that touch are one."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    end = np.maximum.accumulate(spans[:, 1])
+    new = np.concatenate([[True], spans[1:, 0] > end[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]])
+    return np.stack([spans[new, 0], end[last]], axis=1)
+
+
+#: A distinct segment of a task, and its places: documents, and for each place which of them and where.
+_PIECES = pa.schema([("hash", pa.int64()), ("n", pa.int64()), ("windows", pa.int64()), ("data", pa.binary()), ("docs", pa.list_(pa.string())), ("doc_of", pa.binary()), ("starts", pa.binary())])
+_PIECES_SQL = "hash long, n long, windows long, data binary, docs array<string>, doc_of binary, starts binary"
 _FOUND = pa.schema([("doc", pa.string()), ("spans", pa.binary()), ("hash", pa.int64()), ("part", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("docs", pa.list_(pa.string())), ("starts", pa.binary())])
 _FOUND_SQL = "doc string, spans binary, hash long, part int, high binary, low binary, docs array<string>, starts binary"
 
 
 def _solve(length: int):
     def run(table: pa.Table) -> pa.Table:
-        t = {name: table.column(name).to_pylist() for name in ("hash", "n", "doc", "start", "windows", "data")}
+        t = {name: table.column(name).to_pylist() for name in ("hash", "n", "windows", "data", "docs", "doc_of", "starts")}
         place: dict[bytes, int] = {}
         where = [place.setdefault(d, len(place)) for d in t["data"]]
         pieces = list(place)
-        times = np.bincount(where, minlength=len(pieces))
-        first = {}
+        doc_of, starts = ([np.frombuffer(x, kind) for x in t[name]] for name, kind in (("doc_of", "<i4"), ("starts", "<i8")))
+        times = np.bincount(where, [len(x) for x in starts], len(pieces)).astype(np.int64)
+        first: dict[int, int] = {}
         for i, k in enumerate(where):
             first.setdefault(k, i)
         counts = [t["windows"][first[k]] for k in range(len(pieces))]
@@ -231,10 +248,16 @@ def _solve(length: int):
             for name in out:
                 out[name].append(row.get(name))
 
+        found = [runs(np.flatnonzero(again[offset[k] : offset[k + 1]]), length) for k in range(len(pieces))]
+        of_doc: dict[str, list[np.ndarray]] = {}
         for i, k in enumerate(where):
-            hits = np.flatnonzero(again[offset[k] : offset[k + 1]]) + t["start"][i]
-            if len(hits):
-                emit(doc=t["doc"][i], spans=runs(hits, length).astype("<i8").tobytes())
+            if len(found[k]):
+                moved = starts[i][:, None, None] + found[k][None]
+                for j, doc in enumerate(t["docs"][i]):
+                    own = moved if len(t["docs"][i]) == 1 else moved[doc_of[i] == j]
+                    of_doc.setdefault(doc, []).append(own.reshape(-1, 2))
+        for doc, spans in of_doc.items():
+            emit(doc=doc, spans=merged(np.concatenate(spans)).astype("<i8").tobytes())
         # windows of anchors that other shards hold too: one digest for each class, with its place if it is alone here
         by_hash: dict[int, list[int]] = {}
         for k, i in first.items():
@@ -252,7 +275,7 @@ def _solve(length: int):
                     seen.add(g)
                     digest = hashlib.blake2b(pieces[k][j : j + length], digest_size=16).digest()
                     alone = total[g] == 1
-                    rows.append((int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), t["doc"][first[k]] if alone else None, t["start"][first[k]] + j))
+                    rows.append((int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), t["docs"][first[k]][0] if alone else None, int(starts[first[k]][0]) + j))
             rows.sort(key=lambda r: r[:2])
             high, low = (np.array([r[c] for r in rows], np.uint64) for c in (0, 1))
             part = (low % np.uint64(parts)).astype(np.int64)
@@ -321,25 +344,39 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = ["hash", "n", "doc", "start", "windows", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        held: dict[tuple[int, bytes], tuple[int, int, dict[str, list[int]]]] = {}
+
+        def flush() -> pa.RecordBatch:
+            docs = [list(at) for _, _, at in held.values()]
+            doc_of = [np.repeat(np.arange(len(at), dtype="<i4"), [len(x) for x in at.values()]).tobytes() for _, _, at in held.values()]
+            starts = [np.array([s for x in at.values() for s in x], "<i8").tobytes() for _, _, at in held.values()]
+            columns = [[h for h, _ in held], [n for n, _, _ in held.values()], [w for _, w, _ in held.values()], [d for _, d in held], docs, doc_of, starts]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+
+        size = 0
         for batch in batches:
-            out: list[list] = [[] for _ in names]
             for doc, packed, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = unpack.decompress(packed)
                 for h, count, start, windows in segments(raw, length, np.array(at), np.array(n)):
-                    for column, value in zip(out, (h, count, doc, start, windows, raw[start : start + windows + length - 1]), strict=True):
-                        column.append(value)
-                if len(out[0]) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                    data = raw[start : start + windows + length - 1]
+                    got = held.get((h, data))
+                    if got is None:
+                        got = held[h, data] = (count, windows, {})
+                        size += len(data)
+                    got[2].setdefault(doc, []).append(start)
+                    size += 40
+                if size > PIECE_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     joined = texts.join(marks, "doc").dropDuplicates(["doc"]).select("doc", "packed", "at", "n")
-    pieces = written(joined.mapInArrow(cut, "hash long, n long, doc string, start long, windows long, data binary"), "segments")
+    pieces = written(joined.mapInArrow(cut, _PIECES_SQL), "segments")
     size = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    share = F.pmod(F.xxhash64("doc", "start"), F.ceil(F.col("n") / SPLIT))
+    share = F.pmod(F.xxhash64("docs", "starts"), F.ceil(F.col("n") / SPLIT))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("hash", share), F.lit(shards)))
     solved = written(dealt.groupBy("shard").applyInArrow(_solve(length), _FOUND_SQL), "solved")
     merged = solved.where("hash is not null").groupBy("hash", "part").applyInArrow(_merge(length), "doc string, spans binary")
@@ -349,14 +386,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
 def merged_spans(packed: list[bytes] | None) -> list[tuple[int, int]]:
     """Packed spans as sorted maximal runs."""
-    if not packed:
-        return []
-    both = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
-    both = both[np.argsort(both[:, 0], kind="stable")]
-    end = np.maximum.accumulate(both[:, 1])
-    new = np.concatenate([[True], both[1:, 0] > end[:-1]])
-    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(both) - 1]])
-    return [(int(a), int(b)) for a, b in zip(both[new, 0], end[last], strict=True)]
+    return [(int(a), int(b)) for a, b in merged(np.frombuffer(b"".join(packed or []), "<i8").reshape(-1, 2))]
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
