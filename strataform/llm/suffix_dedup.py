@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-GRAM, BITS, SPLIT, SHARD_BYTES, PIECE_BYTES = 32, 6, 512, 2_000_000, 16_000_000
+GRAM, BITS, SPLIT, SHARD_BYTES, ARRAY_BYTES, PIECE_BYTES = 32, 6, 512, 2_000_000, 200_000, 16_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -115,7 +115,7 @@ def suffix_order(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order of their first ``depth`` or more bytes, rank of each; suffixes equal so far share a rank)."""
     n = len(raw)
     key = words_at(raw, 7)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -129,7 +129,7 @@ def suffix_order(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
         ahead = own + done
         ranks = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         both = (first[live] << 32) | ranks
-        turn = np.argsort(both, kind="stable")
+        turn = np.argsort(both)
         own, both = own[turn], both[turn]
         order[live] = own
         new = np.concatenate([[True], both[1:] != both[:-1]])
@@ -226,6 +226,21 @@ _FOUND = pa.schema([("doc", pa.string()), ("spans", pa.binary()), ("hash", pa.in
 _FOUND_SQL = "doc string, spans binary, hash long, part int, high binary, low binary, docs array<string>, starts binary"
 
 
+def _by_hash(hashes: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
+    """Indices of ``pieces`` in runs of about ``ARRAY_BYTES``; pieces of one hash stay together."""
+    own: list[int] = []
+    size, last = 0, None
+    for k in sorted(range(len(pieces)), key=hashes.__getitem__):
+        if size > ARRAY_BYTES and hashes[k] != last:
+            yield own
+            own, size = [], 0
+        own.append(k)
+        size += len(pieces[k])
+        last = hashes[k]
+    if own:
+        yield own
+
+
 def _solve(length: int):
     def run(table: pa.Table) -> pa.Table:
         t = {name: table.column(name).to_pylist() for name in ("hash", "n", "windows", "data", "docs", "doc_of", "starts")}
@@ -238,8 +253,16 @@ def _solve(length: int):
         for i, k in enumerate(where):
             first.setdefault(k, i)
         counts = [t["windows"][first[k]] for k in range(len(pieces))]
-        group, offset = window_classes(pieces, counts, length)
-        _, group = np.unique(group, return_inverse=True)
+        offset = np.concatenate([[0], np.cumsum(counts)])
+        group = np.empty(offset[-1], np.int64)
+        classes = 0
+        # equal windows have one anchor hash, so arrays of a few whole hashes at a time are enough, and stay in the processor's cache
+        for own in _by_hash([t["hash"][first[k]] for k in range(len(pieces))], pieces):
+            found, at = window_classes([pieces[k] for k in own], [counts[k] for k in own], length)
+            names, found = np.unique(found, return_inverse=True)
+            for i, k in enumerate(own):
+                group[offset[k] : offset[k + 1]] = found[at[i] : at[i + 1]] + classes
+            classes += len(names)
         total = np.bincount(group, np.repeat(times, counts))
         again = total[group] > 1
         out: dict[str, list] = {name: [] for name in _FOUND.names}
