@@ -16,7 +16,7 @@ from strataform.llm.line_dedup import dedup_lines
 from strataform.llm.packing import pack_documents
 from strataform.llm.quality import fit_quality, score_quality
 from strataform.llm.secret_scan import redact, scan_secrets
-from strataform.llm.simhash import near_duplicates
+from strataform.llm.simhash import similar_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +36,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates; rows without an id stay."""
-    groups = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Keep the document with the smallest id of each group alike in shingles of five words, by 0.8 or more; rows without an id stay."""
+    groups = similar_documents(docs, words=5, similarity=0.8).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 

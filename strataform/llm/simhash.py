@@ -23,22 +23,34 @@ from .common import map_arrow, written
 from .components import connected_components
 
 SHARD, HOT, LEAF = 2048, 8192, 16
+#: Sketches of ``similar_documents``: least hashes kept, bands and their rows; how far the estimate may lie under the similarity asked for, and bits
+#: beyond the radius, as fingerprints spread around a similarity.
+SKETCH, BANDS, ROWS, SLACK, SPREAD = 80, 10, 4, 0.08, 2
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """64-bit fingerprint (unsigned) of the shingles of ``words`` words, by XXH64 with seed 42; 0 for no words."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 with seed 42 of every run of ``words`` words (fewer words: of all of them; none: nothing)."""
     import xxhash
 
     found = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone, and ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = list(map(b" ".join, zip(*(found[i:] for i in range(words))))) or [b" ".join(found)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit fingerprint (unsigned): the bits set in over half of ``hashes``; 0 for none."""
     ones, step = np.zeros(64, np.int64), 1 << 16
-    for at in range(0, len(grams), step):
-        part = grams[at : at + step]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def simhash(text: str | None, words: int = 3) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint(shingle_hashes(text, words))
 
 
 class BkTree:
@@ -112,6 +124,97 @@ def _links(radius: int):
     return run
 
 
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """(a byte for each of ``SKETCH`` permutations' least hash, a key for each of ``BANDS`` bands of ``ROWS`` of them)."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * _ODD[None, :]).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in mixed[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes(), keys.view(np.int64).tolist()
+
+
+def _similar(radius: int, least: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "node"], kind="stable")
+        node, print_, part, key = (group[c].to_numpy() for c in ("node", "fp", "part", "key"))
+        print_ = print_.view(np.uint64)
+        bytes_ = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
+        low, high = part == part.min(), part == part.max()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo < 2:
+                continue
+            first, other = lo + np.flatnonzero(low[lo:hi]), lo + np.flatnonzero(high[lo:hi])
+            q, t = BkTree(print_[first]).within(print_[other], radius)
+            q, t = other[q], first[t]
+            for at in range(0, len(q), 1 << 16):
+                x, y = q[at : at + (1 << 16)], t[at : at + (1 << 16)]
+                ok = (x != y) & ((bytes_[x] == bytes_[y]).mean(axis=1) >= least)
+                a.append(x[ok])
+                b.append(y[ok])
+        # the same pair of rows may be in several bands, and a node in several rows: links go between nodes
+        ids, index = np.unique(node, return_inverse=True)
+        label = forest(len(ids), index[np.concatenate(a)], index[np.concatenate(b)])
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
+
+    return run
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key`` and component_id of documents that are alike: SimHash similarity (equal bits / 64) of about ``similarity``.
+
+    At that radius any two of many texts may agree by chance, so only texts that share a band of least hashes of their shingles are compared,
+    and a link also needs an estimated Jaccard similarity of ``similarity`` - ``SLACK``. For pairs whose Jaccard similarity is 0.8
+    a band is shared with probability 0.995. A shard holds the texts of some bands; each band's fingerprints form a BK-tree, searched
+    with the radius. Null and empty texts are alike; null keys have a null component_id unless a row with a key has equal shingles.
+    """
+    radius = int(64 * (1 - similarity) + 1e-9) + SPREAD
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"key": batch[key], "fp": [], "sketch": [], "bands": []}
+        for t in batch[text]:
+            hashes = shingle_hashes(t, words)
+            packed, bands = sketch(hashes)
+            out["fp"].append(fingerprint(hashes))
+            out["sketch"].append(packed)
+            out["bands"].append(bands)
+        out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
+        return out
+
+    arrow = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    rows = map_arrow(df.select(F.col(key).cast("long").alias(key), text), run, "key long, fp long, sketch binary, bands array<long>", arrow)
+    prints = written(rows.withColumnRenamed("key", key), "sketches")
+    nodes = written(prints.groupBy("fp", "sketch").agg(F.min(key).alias("node"), F.min("bands").alias("bands")).where("node is not null"), "nodes")
+    shards = max(1, -(-nodes.count() * BANDS // SHARD))
+    keyed = nodes.select("node", "fp", "sketch", F.explode("bands").alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    paired = _dealt(keyed, ["shard"], "node")
+    links = paired.groupBy("shard", "lo", "hi").applyInPandas(_similar(radius, similarity - SLACK), "u long, v long")
+    roots = connected_components(links)
+    named = nodes.join(roots, "node", "left").select(F.col("fp").alias("p"), F.col("sketch").alias("s"), F.coalesce("root", "node").alias("component_id"))
+    return prints.join(named, (prints["fp"] == named["p"]) & (prints["sketch"] == named["s"]), "left").select(key, "component_id")
+
+
+def _dealt(keyed: DataFrame, by: list[str], spread: str) -> DataFrame:
+    """Rows of shards, with part, lo, hi: shards beyond ``HOT`` are cut into parts, and each row goes to every pair of parts that has its own."""
+    sizes = keyed.groupBy(*by).count().where(f"count > {HOT}")
+    # fresh expressions, so the join gets exchanges of its own where it isn't a broadcast
+    hot = sizes.select(*(F.col(c).cast("string").cast("long").alias(f"hot_{c}") for c in by), F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    same = [keyed[c].cast("long") == hot[f"hot_{c}"] for c in by]
+    dealt = keyed.join(hot, same, "left").select(*keyed.columns, F.coalesce("parts", F.lit(1)).alias("parts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(spread, F.lit("part")), F.col("parts")).cast("int"))
+    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return paired.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("parts", "with")
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Links (u, v) between ``nodes`` (node long, fp long, both without repeats) whose fps differ in at most ``radius`` bits.
 
@@ -124,14 +227,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     keyed = nodes.select("node", "fp", F.posexplode(values).alias("block", "value")).select(
         "node", "fp", "block", F.pmod(F.xxhash64("block", "value"), F.lit(shards)).alias("shard")
     )
-    sizes = keyed.groupBy("block", "shard").count().where(f"count > {HOT}")
-    hot = sizes.select(F.col("block").alias("b"), F.concat(F.col("shard").cast("string")).cast("long").alias("s"), F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    dealt = keyed.join(hot, (F.col("block") == F.col("b")) & (F.col("shard") == F.col("s")), "left").select(
-        "node", "fp", "block", "shard", F.coalesce("parts", F.lit(1)).alias("parts")
-    )
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int"))
-    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
+    paired = _dealt(keyed, ["block", "shard"], "fp")
     return paired.groupBy("block", "shard", "lo", "hi").applyInPandas(_links(radius), "u long, v long")
 
 
