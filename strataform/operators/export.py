@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug, split_plus
@@ -17,6 +17,7 @@ from ..functions.values import parse_coordinate, parse_decimal, parse_integer, p
 from ..sources.models import Model
 from .aggregates import merge_records
 from .linking import CANDIDATE, candidate
+from .ranking import text_ordinals
 
 MOS, MNR, XSD, GEO = NAMESPACES["mos"], NAMESPACES["mnr"], NAMESPACES["xsd"], NAMESPACES["geo"]
 #: The reference system of coordinates unless said otherwise, and the categories of resources and reserves.
@@ -82,22 +83,36 @@ def to_triples(df: DataFrame, model: Model, row: str = "row_index", columns: Seq
     return df.select(F.inline(F.filter(every, lambda t: t["s"].isNotNull() & t["o"].isNotNull())))
 
 
-def _wide(triples: DataFrame, klass: str, single: Mapping[str, str], many: Mapping[str, str]) -> DataFrame:
-    """Subjects of a class with one column per property: structs (o, kind, datatype), or sorted arrays of them."""
+def described(triples: DataFrame) -> DataFrame:
+    """One row per subject: ``s`` and ``props``, a map of predicate to its sorted values (o, o_kind, datatype).
+
+    One exchange by subject, in one column, so every use of it in a plan can share that exchange.
+    """
     value = F.struct("o", "o_kind", "datatype")
-    at = lambda p: F.col("p") == MOS + p
-    typed = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == MOS + klass)).select("s").distinct()
-    rows = triples.join(typed, "s", "left_semi").groupBy("s").agg(
-        *(F.min(F.when(at(p), value)).alias(name) for name, p in single.items()),
-        *(F.count(F.when(at(p), 1)).alias(f"__n_{name}") for name, p in single.items()),
-        *(F.array_sort(F.collect_list(F.when(at(p), value))).alias(name) for name, p in many.items()),
-    )
-    return rows
+    each = triples.select("s", "p", value.alias("v")).repartition(F.col("s")).groupBy("s", "p").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return each.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "v")))).alias("props"))
+
+
+def _values(predicate: str) -> Column:
+    return F.coalesce(F.element_at("props", F.lit(predicate)), F.expr("cast(array() as array<struct<o:string,o_kind:string,datatype:string>>)"))
+
+
+def _wide(subjects: DataFrame, klass: str, single: Mapping[str, str], many: Mapping[str, str]) -> DataFrame:
+    """Described subjects of a class with one column per property: the first value and the number of them, or all values."""
+    typed = subjects.where(F.exists(_values(RDF_TYPE), lambda v: v["o"] == MOS + klass))
+    return typed.select(
+        "s", "props", *(F.try_element_at(_values(MOS + p), F.lit(1)).alias(name) for name, p in single.items()),
+        *(F.size(_values(MOS + p)).alias(f"__n_{name}") for name, p in single.items()), *(_values(MOS + p).alias(name) for name, p in many.items()),
+    )
 
 
 def documents(triples: DataFrame) -> DataFrame:
     """s, document (uri, title, doi, authors), record_type of each document; a document needs a DOI, a URL or a title."""
-    rows = _wide(triples, "Document", {"title": "title", "doi": "doi", "url": "url", "kind": "record_type"}, {"authors": "author"})
+    return _documents(described(triples))
+
+
+def _documents(subjects: DataFrame) -> DataFrame:
+    rows = _wide(subjects, "Document", {"title": "title", "doi": "doi", "url": "url", "kind": "record_type"}, {"authors": "author"})
     uri = document_uri(F.col("doi.o"), F.col("url.o"), F.col("title.o"))
     sure = F.coalesce(uri, F.raise_error(F.concat(F.lit("a document without title, DOI or URL: "), "s")).cast("string"))
     doc = F.struct(sure.alias("uri"), F.col("title.o").alias("title"), F.col("doi.o").alias("doi"), F.transform("authors", lambda a: a["o"]).alias("authors"))
@@ -122,9 +137,13 @@ def inventories(triples: DataFrame, links: DataFrame | None = None) -> DataFrame
     their own tonnages, or a bare one. ``links`` has (kind, name, id, score): kinds commodity, unit, category. A grade that isn't valid is left
     out everywhere.
     """
+    return _inventories(described(triples), links)
+
+
+def _inventories(subjects: DataFrame, links: DataFrame | None) -> DataFrame:
     props = ("commodity", "date", "tonnage", "tonnage_unit", "grade", "grade_unit", *(f"{k}_{p}" for k in ("resource", "reserve") for p in ("tonnage", "tonnage_unit", "grade", "grade_unit")))
-    rows = _wide(triples, "MineralInventory", {p: p for p in props}, {"category": "category"})
-    rows = rows.where("commodity is not null")
+    rows = _wide(subjects, "MineralInventory", {p: p for p in props}, {"category": "category"})
+    rows = rows.where("commodity is not null").drop("props")
     found: dict[str, Column] = {}
     units = [p for p in props if p.endswith("unit")]
     if links is not None:
@@ -164,10 +183,7 @@ def record_ids(sites: DataFrame, record_type: Column | None = None) -> DataFrame
     """
     kind = record_type if record_type is not None else F.lit(None).cast("string")
     unique = sites.agg((F.count("name") == F.count_distinct("name")).alias("__unique"))
-    by_name = sites.select("s", "name").groupBy("name").agg(F.array_sort(F.collect_list("s")).alias("__all"))
-    counts = by_name.select("name", F.size("__all").alias("__c"), "__all")
-    before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = before.select(F.posexplode("__all").alias("__i", "s"), "__before").select("s", (F.col("__before") + F.col("__i")).alias("__ordinal"))
+    placed = text_ordinals(sites.select("s", "name"), "name", "s", "__ordinal")
     name = slug(F.col("name"))
     row = F.concat_ws("__", name, slug(F.col("country")), F.col("__ordinal").cast("string"))
     chosen = (
@@ -177,7 +193,7 @@ def record_ids(sites: DataFrame, record_type: Column | None = None) -> DataFrame
         .when(kind == "row", row)
         .otherwise(F.raise_error(F.concat(F.lit("no record id: "), "s")).cast("string"))
     )
-    joined = sites.join(placed, "s").crossJoin(F.broadcast(unique))
+    joined = sites.join(placed.select("s", "__ordinal"), "s").crossJoin(F.broadcast(unique))
     return joined.withColumn("record_id", chosen).drop("__ordinal", "__unique")
 
 
@@ -191,14 +207,16 @@ def location_info(country: Column, state: Column, location: Column, latitude: Co
 
 def deposit_types(triples: DataFrame) -> DataFrame:
     """s, deposit_type_candidate: literals as candidates; nodes by their label, prelinked to their normalized_uri and confidence."""
-    given = triples.where(F.col("p") == MOS + "deposit_type").select("s", "o", "o_kind")
-    about = triples.where(F.col("p").isin(RDFS_LABEL, MOS + "normalized_uri", MOS + "confidence")).groupBy(F.col("s").alias("o")).agg(
-        F.max(F.when(F.col("p") == RDFS_LABEL, F.col("o"))).alias("label"),
-        F.max(F.when(F.col("p") == MOS + "normalized_uri", F.col("o"))).alias("uri"),
-        F.max(F.when(F.col("p") == MOS + "confidence", parse_decimal(F.col("o")))).alias("confidence"),
-    )
-    nodes = given.where(F.col("o_kind") != "literal").join(about, "o").select("s", candidate(F.col("label"), F.lit(False), prelinked=F.col("uri"), confidence=F.col("confidence")).alias("c"))
-    plain = given.where(F.col("o_kind") == "literal").select("s", candidate(F.col("o"), F.lit(False)).alias("c"))
+    return _deposit_types(described(triples))
+
+
+def _deposit_types(subjects: DataFrame) -> DataFrame:
+    given = subjects.select("s", F.explode(_values(MOS + "deposit_type")).alias("v"))
+    of = lambda p: F.try_element_at(_values(p), F.lit(1))["o"]
+    about = subjects.select(F.col("s").alias("o"), of(RDFS_LABEL).alias("label"), of(MOS + "normalized_uri").alias("uri"), parse_decimal(of(MOS + "confidence")).alias("confidence"))
+    nodes = given.where(F.col("v.o_kind") != "literal").select("s", F.col("v.o").alias("o")).join(about, "o")
+    nodes = nodes.select("s", candidate(F.col("label"), F.lit(False), prelinked=F.col("uri"), confidence=F.col("confidence")).alias("c"))
+    plain = given.where(F.col("v.o_kind") == "literal").select("s", candidate(F.col("v.o"), F.lit(False)).alias("c"))
     return plain.unionByName(nodes).groupBy("s").agg(F.array_sort(F.collect_list("c")).alias("deposit_type_candidate"))
 
 
@@ -212,13 +230,14 @@ def to_records(triples: DataFrame, created_by: str, links: DataFrame | None = No
     if created_by[:2] not in ("s/", "u/", "a/"):
         raise ValueError("created_by has to start with s/, u/ or a/")
     single = {p: p for p in ("name", "row_index", "record_id", "location", "latitude", "longitude", "crs", "site_type")}
-    sites = _wide(triples, "MineralSite", single, {"country": "country", "state": "state_or_province"})
+    subjects = described(triples)
+    sites = _wide(subjects, "MineralSite", single, {"country": "country", "state": "state_or_province"})
     if strict:
         name = F.when(F.col("__n_name") == 1, F.col("name.o")).otherwise(F.raise_error(F.concat(F.lit("not exactly one name: "), "s")).cast("string"))
     else:
         sites, name = sites.where("__n_name = 1"), F.col("name.o")
     by_source = triples.where(F.col("p") == MOS + "source_id").agg(F.min("o").alias("__source"))
-    doc = documents(triples).agg(F.min_by(F.struct("document", "record_type"), "s").alias("__d"))
+    doc = _documents(subjects).agg(F.min_by(F.struct("document", "record_type"), "s").alias("__d"))
     context = doc.crossJoin(by_source).select(
         F.coalesce("__d.document", F.struct(F.coalesce("__source", F.raise_error(F.lit("neither a document nor a source id")).cast("string")).alias("uri"), *(F.lit(None).cast(k).alias(n) for n, k in (("title", "string"), ("doi", "string"), ("authors", "array<string>"))))).alias("__doc"),
         F.col("__d.record_type").alias("__kind"),
@@ -232,10 +251,10 @@ def to_records(triples: DataFrame, created_by: str, links: DataFrame | None = No
         F.col("site_type.o").alias("site_type"),
     ).crossJoin(F.broadcast(context))
     named = record_ids(flat, F.col("__kind"))
-    edges = triples.where(F.col("p") == MOS + "mineral_inventory").select("s", F.col("o").alias("__inv"))
-    held = edges.join(inventories(triples, links).withColumnRenamed("s", "__inv"), "__inv").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("__inv", "inventory"))).alias("v"))
+    edges = sites.select("s", F.explode(F.transform(_values(MOS + "mineral_inventory"), lambda v: v["o"])).alias("__inv"))
+    held = edges.join(_inventories(subjects, links).withColumnRenamed("s", "__inv"), "__inv").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("__inv", "inventory"))).alias("v"))
     held = held.select("s", F.transform("v", lambda x: x["inventory"]).alias("mineral_inventory"))
-    full = named.join(deposit_types(triples), "s", "left").join(held, "s", "left")
+    full = named.join(_deposit_types(subjects), "s", "left").join(held, "s", "left")
     full = full.withColumn("mineral_inventory", F.coalesce("mineral_inventory", F.expr(f"cast(array() as array<{INVENTORY}>)")))
     full = full.withColumn("deposit_type_candidate", F.coalesce("deposit_type_candidate", F.expr(f"cast(array() as array<{CANDIDATE}>)")))
     same = ["name", "location_info", "deposit_type_candidate", "site_type", "__doc"]

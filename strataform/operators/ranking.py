@@ -57,6 +57,18 @@ def ordinals(df: DataFrame, order: Sequence[str], by: Sequence[str], name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
 
 
+def text_ordinals(df: DataFrame, text: str, tie: str, name: str = "ordinal", prefix: int = 3) -> DataFrame:
+    """Number all rows from 0 by ``text``, then ``tie``, without a task that holds them all.
+
+    Rows are ranked among those that begin with the same ``prefix`` characters; the sums of the prefixes before are a window over one row per prefix.
+    """
+    start = F.substring(text, 1, prefix)
+    counts = df.groupBy(start.alias("__start")).agg(F.count("*").alias("__n"))
+    before = counts.select("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = df.withColumn("__begin", start).withColumn("__rank", F.row_number().over(Window.partitionBy("__begin").orderBy(text, tie)))
+    return ranked.join(before, ranked["__begin"] == before["__start"]).withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__begin", "__start", "__before", "__rank")
+
+
 def best_path(paths: DataFrame, by: Sequence[str] = ("table_id", "dst")) -> DataFrame:
     """The path with the highest score of each group; ties by source and keys."""
     return top_n(paths, 1, by, [F.desc("score"), "src", "mid", "key1", "key2"])

@@ -162,7 +162,7 @@ def merge_headers(cells: DataFrame) -> DataFrame:
     plan = tables.join(after, ["table_id", "n"], "left").select("table_id", F.when((F.col("n") > 1) & F.col("body"), F.col("n")).otherwise(0).alias("n"))
     joined = cells.join(plan, "table_id")
     top = joined.where(F.col("row") < F.col("n")).groupBy("table_id", "col").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("v"))
-    texts = F.array_distinct(F.filter(F.transform("v", lambda x: x["value"]), lambda v: v != ""))
+    texts = F.array_distinct(F.transform("v", lambda x: x["value"]))
     top = top.select("table_id", F.lit(0).alias("row"), "col", F.lit("columnHeader").alias("kind"), F.array_join(texts, " ").alias("value"))
     rest = joined.where(F.col("row") >= F.col("n")).select("table_id", (F.col("row") - F.greatest(F.col("n") - 1, F.lit(0))).alias("row"), "col", "kind", "value")
     return top.unionByName(rest)
