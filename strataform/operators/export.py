@@ -80,7 +80,7 @@ def to_triples(df: DataFrame, model: Model, row: str = "row_index", columns: Seq
             value = F.when(cell.isNotNull() & ~cell.isin(*missing), transformed(cell, kind))
             items.append(triple(subject, e.uri, value, F.lit("uri" if is_uri else "literal"), None if is_uri else kind))
     every = F.array(*(i.cast(TRIPLE_ITEM) for i in items))
-    return df.select(F.inline(F.filter(every, lambda t: t["s"].isNotNull() & t["o"].isNotNull())))
+    return df.select(F.inline(every)).where("s is not null and o is not null")
 
 
 def described(triples: DataFrame) -> DataFrame:

@@ -90,8 +90,8 @@ def matrix_to_rows(df: DataFrame, groups: Mapping[str, Sequence[str]], missing:
     ]
     if not items:
         return df.limit(0)
-    cells = F.filter(F.array(*items), lambda x: ~x["__v"].isin(*missing))
-    return df.select(index, *(F.col(f"`{c}`") for c in kept), F.inline(cells)).drop("__v")
+    # the filter stays outside the array: higher-order functions would break code generation
+    return df.select(index, *(F.col(f"`{c}`") for c in kept), F.inline(F.array(*items))).where(~F.col("__v").isin(*missing)).drop("__v")
 
 
 def headers_to_rows(cells: DataFrame, attributes: Sequence[Mapping], header_rows: int) -> DataFrame:

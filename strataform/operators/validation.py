@@ -113,7 +113,7 @@ def check_cross(triples: DataFrame, rules: Sequence[tuple] = tuple(CROSS_RULES))
         }[kind]()
         found = F.struct(F.lit(expand(props[0])).alias("path"), F.lit(kind).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
         checks.append(F.when(F.array_contains("types", expand(klass)) & broken, found))
-    return nodes.select("focus", F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+    return nodes.select("focus", F.inline(F.array(*checks))).where("rule is not null")
 
 
 def validate(triples: DataFrame, rules: DataFrame) -> DataFrame:

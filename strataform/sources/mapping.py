@@ -80,8 +80,7 @@ def map_rows(df: DataFrame, text: str, derived: Mapping[str, Column] | None = No
             if p[1] not in subject:
                 raise MappingError(f"no node {p[1]!r}")
             lists.append(F.array(item(s, uri(p[0]), subject[p[1]], kinds[p[1]], None)))
-    every = F.filter(F.flatten(F.array(*lists)), lambda t: t["s"].isNotNull() & t["o"].isNotNull())
-    return df.select(F.inline(every)).distinct()
+    return df.select(F.inline(F.flatten(F.array(*lists)))).where("s is not null and o is not null").distinct()
 
 
 def _each(values: Column, make) -> Column:
