@@ -1,7 +1,6 @@
 import pytest
 
-from compare import same
-from conftest import DATA
+from compare import DATA, same
 from strataform.plans import QUERIES, SQL
 
 
