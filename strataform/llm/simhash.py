@@ -11,6 +11,8 @@ one, queries of the other. Tasks return a spanning forest of the links they find
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import repeat
 
 import numpy as np
@@ -23,9 +25,11 @@ from .common import map_arrow, written
 from .components import connected_components
 
 SHARD, HOT, LEAF = 2048, 8192, 16
-#: Sketches of ``similar_documents``: least hashes kept, bands and their rows; how far the estimate may lie under the similarity asked for, and bits
-#: beyond the radius, as fingerprints spread around a similarity.
-SKETCH, BANDS, ROWS, SLACK, SPREAD = 80, 10, 4, 0.08, 2
+#: Sketches of ``similar_documents``, which only find most links cheaply: least hashes kept, bands and their rows; how far the estimate may lie under
+#: the similarity asked for, and bits beyond the radius, as fingerprints spread around a similarity. PAIRS: pairs a task holds before it thins them. BINS: counts of shingles by hash.
+#: Shingles that COMMON of about SAMPLE documents have come last in the order of the exact filter, at most MOST of them.
+SKETCH, BANDS, ROWS, SLACK, SPREAD, PAIRS, BINS = 80, 10, 4, 0.08, 2, 1 << 21, 128
+SAMPLE, COMMON, MOST = 8192, 4, 100_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -140,6 +144,27 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
     return (mixed >> np.uint64(56)).astype(np.uint8).tobytes(), keys.view(np.int64).tolist()
 
 
+def strongest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of links a - b among ``n`` nodes that connect what all of them connect, those of high ``weight`` first."""
+    label, kept = np.arange(n), [np.zeros(0, np.int64)]
+    for w in np.unique(weight)[::-1]:
+        at = np.flatnonzero(weight == w)
+        while True:
+            x, y = label[a[at]], label[b[at]]
+            at = at[x != y]
+            if not len(at):
+                break
+            x, y = label[a[at]], label[b[at]]
+            high, first = np.unique(np.maximum(x, y), return_index=True)  # each root hangs on a smaller one: no circles
+            kept.append(at[first])
+            up = np.arange(n)
+            up[high] = np.minimum(x, y)[first]
+            while (up[up] != up).any():
+                up = up[up]
+            label = up[label]
+    return np.concatenate(kept)
+
+
 def _similar(radius: int, least: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "node"], kind="stable")
@@ -147,7 +172,15 @@ def _similar(radius: int, least: float):
         print_ = print_.view(np.uint64)
         bytes_ = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
         low, high = part == part.min(), part == part.max()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # the same pair of rows may be in several bands, and a node in several rows: links go between nodes
+        ids, index = np.unique(node, return_inverse=True)
+        a, b, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+
+        def thin() -> None:
+            x, y, w = map(np.concatenate, (a, b, same))
+            at = strongest(len(ids), x, y, w)
+            a[:], b[:], same[:] = [x[at]], [y[at]], [w[at]]
+
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
         for lo, hi in zip(cuts, cuts[1:]):
             if hi - lo < 2:
@@ -157,50 +190,144 @@ def _similar(radius: int, least: float):
             q, t = other[q], first[t]
             for at in range(0, len(q), 1 << 16):
                 x, y = q[at : at + (1 << 16)], t[at : at + (1 << 16)]
-                ok = (x != y) & ((bytes_[x] == bytes_[y]).mean(axis=1) >= least)
-                a.append(x[ok])
-                b.append(y[ok])
-        # the same pair of rows may be in several bands, and a node in several rows: links go between nodes
-        ids, index = np.unique(node, return_inverse=True)
-        label = forest(len(ids), index[np.concatenate(a)], index[np.concatenate(b)])
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
+                equal = (bytes_[x] == bytes_[y]).sum(axis=1)
+                ok = (x != y) & (equal >= least * SKETCH)
+                a.append(index[x[ok]])
+                b.append(index[y[ok]])
+                same.append(equal[ok].astype(np.uint8))
+                if sum(map(len, a[1:])) > PAIRS:
+                    thin()
+        thin()
+        return pd.DataFrame({"u": ids[np.maximum(a[0], b[0])], "v": ids[np.minimum(a[0], b[0])]})
 
     return run
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """So many first shingles, in one order for all, of a set of ``n``: sets with that Jaccard similarity have one of them in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def bins(hashes: np.ndarray) -> bytes:
+    """How many of distinct ``hashes`` have each value of seven bits, to 255. Two sets differ in at least the sum of the differences."""
+    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def common_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
+    """Hashes, sorted, of shingles found in ``COMMON`` documents of a sample. What it misses costs time only: any order of shingles is exact."""
+    some = max(1, df.count() // SAMPLE)
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        return {"h": np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, words)) for t in batch[text])]).view(np.int64)}
+
+    texts = df.select(text).where(F.pmod(F.xxhash64(text), F.lit(some)) == 0).distinct()
+    seen = map_arrow(texts, run, "h long", pa.schema([("h", pa.int64())])).groupBy("h").count().where(f"count >= {COMMON}")
+    found = [r.h for r in seen.orderBy(F.desc("count"), "h").limit(MOST).select("h").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _crossing(similarity: float):
+    """Pairs of nodes of different components that share a row's ``key`` and whose sizes, places in the order and bins allow ``similarity``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key", kind="stable")
+        key, node, comp, n, pos, part = (group[c].to_numpy() for c in ("key", "node", "comp", "n", "pos", "part"))
+        counts = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(len(node), BINS).astype(np.int16)
+        low, high = part == part.min(), part == part.max()
+        found = [np.zeros((0, 2), np.int64)]
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            first, other = lo + np.flatnonzero(low[lo:hi]), lo + np.flatnonzero(high[lo:hi])
+            step = max(1, (1 << 20) // max(1, len(first)))
+            for at in range(0, len(other), step):
+                x, y = other[at : at + step, None], first[None, :]
+                # the first shingle two sets have in common is their ``key`` in some row: what follows it bounds the rest
+                common = np.minimum(n[x] - pos[x], n[y] - pos[y])
+                ok = (comp[x] != comp[y]) & (common * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+                q, t = np.nonzero(ok)
+                q, t = x[q, 0], y[0, t]
+                apart = [np.abs(counts[q[i : i + 8192]] - counts[t[i : i + 8192]]).sum(axis=1) for i in range(0, len(q), 8192)]
+                near = np.concatenate([np.zeros(0, np.int64), *apart]) * (1 + similarity) <= (1 - similarity) * (n[q] + n[t]) + 1e-6
+                q, t = node[q[near]], node[t[near]]
+                found.append(np.stack([np.maximum(q, t), np.minimum(q, t)], axis=1))
+            if sum(map(len, found[1:])) > PAIRS:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return run
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) of keys of ``df`` whose texts have a Jaccard similarity of ``similarity`` or more in their distinct shingles."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        u, v = [], []
+        for one, two, x, y in zip(batch["u"], batch["v"], batch["x"], batch["y"]):
+            x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                u.append(one)
+                v.append(two)
+        return {"u": u, "v": v}
+
+    texts = lambda name, to: df.select(F.col(key).cast("long").alias(name), F.col(text).alias(to))
+    pairs = pairs.distinct()
+    asked = pairs.join(texts("u", "x"), "u").join(texts("v", "y"), "v").select("u", "v", "x", "y")
+    return map_arrow(asked, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``key`` and component_id of documents that are alike: SimHash similarity (equal bits / 64) of about ``similarity``.
+    """``key`` and component_id of documents that are alike: linked where the Jaccard similarity of their distinct shingles is ``similarity`` or more.
 
-    At that radius any two of many texts may agree by chance, so only texts that share a band of least hashes of their shingles are compared,
-    and a link also needs an estimated Jaccard similarity of ``similarity`` - ``SLACK``. For pairs whose Jaccard similarity is 0.8
-    a band is shared with probability 0.995. A shard holds the texts of some bands; each band's fingerprints form a BK-tree, searched
-    with the radius. Null and empty texts are alike; null keys have a null component_id unless a row with a key has equal shingles.
+    SimHash finds most links cheaply: texts that share a band of least hashes are searched in BK-trees of their fingerprints. Links that
+    sketches miss come from an exact filter: two sets that similar share one of the first ``prefix_length`` shingles of each in one order, here by
+    hash with common ones last. Only pairs between components found so far are taken from it, so a group of alike texts gives none. ``df`` is read several
+    times. Null and empty texts are alike; null keys have a null component_id unless a row with a key has equal shingles.
     """
     radius = int(64 * (1 - similarity) + 1e-9) + SPREAD
+    late = np.append(common_shingles(df, text, words), np.uint64(0))  # the last place is for hashes beyond all others
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": batch[key], "fp": [], "sketch": [], "bands": []}
+        out: dict[str, list] = {"key": batch[key], **{c: [] for c in ("digest", "n", "bins", "fp", "sketch", "bands", "prefix")}}
         for t in batch[text]:
             hashes = shingle_hashes(t, words)
-            packed, bands = sketch(hashes)
+            own = np.unique(hashes)
+            packed, bands = sketch(own)
+            out["digest"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            out["n"].append(len(own))
+            out["bins"].append(bins(own))
             out["fp"].append(fingerprint(hashes))
             out["sketch"].append(packed)
             out["bands"].append(bands)
+            out["prefix"].append(own[np.argsort(late[np.searchsorted(late[:-1], own)] == own, kind="stable")][: prefix_length(len(own), similarity)].view(np.int64))
         out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
         return out
 
-    arrow = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    rows = map_arrow(df.select(F.col(key).cast("long").alias(key), text), run, "key long, fp long, sketch binary, bands array<long>", arrow)
+    arrow = pa.schema([
+        ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bins", pa.binary()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
+    ])
+    kinds = "key long, digest binary, n int, bins binary, fp long, sketch binary, bands array<long>, prefix array<long>"
+    rows = map_arrow(df.select(F.col(key).cast("long").alias(key), text), run, kinds, arrow)
     prints = written(rows.withColumnRenamed("key", key), "sketches")
-    nodes = written(prints.groupBy("fp", "sketch").agg(F.min(key).alias("node"), F.min("bands").alias("bands")).where("node is not null"), "nodes")
+    nodes = written(prints.groupBy("digest").agg(F.min(key).alias("node"), *(F.min(c).alias(c) for c in ("n", "bins", "fp", "sketch", "bands", "prefix"))).where("node is not null"), "nodes")
     shards = max(1, -(-nodes.count() * BANDS // SHARD))
     keyed = nodes.select("node", "fp", "sketch", F.explode("bands").alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     paired = _dealt(keyed, ["shard"], "node")
     links = paired.groupBy("shard", "lo", "hi").applyInPandas(_similar(radius, similarity - SLACK), "u long, v long")
     roots = connected_components(links)
-    named = nodes.join(roots, "node", "left").select(F.col("fp").alias("p"), F.col("sketch").alias("s"), F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, (prints["fp"] == named["p"]) & (prints["sketch"] == named["s"]), "left").select(key, "component_id")
+
+    known = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.posexplode("prefix").alias("pos", "key"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("mixed"))
+    crossing = known.join(mixed, known["key"] == mixed["mixed"]).drop("mixed")
+    crossing = written(crossing.join(nodes.select(F.col("node").alias("whose"), "bins"), F.col("node") == F.col("whose")).drop("whose"), "crossing")
+    shards = max(1, -(-crossing.count() // SHARD))
+    paired = _dealt(crossing.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), ["shard"], "node")
+    pairs = paired.groupBy("shard", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")
+    more = confirmed(pairs, df, key, text, words, similarity)
+    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    named = nodes.join(roots, "node", "left").select(F.col("digest").alias("d"), F.coalesce("root", "node").alias("component_id"))
+    return prints.join(named, prints["digest"] == named["d"], "left").select(key, "component_id")
 
 
 def _dealt(keyed: DataFrame, by: list[str], spread: str) -> DataFrame:

@@ -165,6 +165,62 @@ def test_similar_documents(spark, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def similar_pairs(shares, seed):
+    """Texts (id, text): for each (common, own) two that have so many shingles of five words in common, and so many each of their own."""
+    r = np.random.default_rng(seed)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    out = []
+    for i, (common, own) in enumerate(shares):
+        shared = word(common + 4)
+        out += [(2 * i, " ".join(shared + word(own))), (2 * i + 1, " ".join(shared + word(own)))]
+    return out
+
+
+def brute_components(rows, least=0.8):
+    """The smallest id reachable over pairs with a Jaccard similarity of ``least`` or more, of all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and common >= least * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {k: rows[root(i)][0] for i, (k, _) in enumerate(rows)}
+
+
+def test_similar_documents_find_every_pair_at_the_bound(spark, monkeypatch):
+    rows = similar_pairs([(40, 5), (200, 25), (400, 50), (200, 20)] * 100, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    assert sum(k != c for k, c in want.items()) == 400
+    assert dict(map(tuple, simhash.similar_documents(df).collect())) == want
+    # hot shards are cut into parts, and no shingle counts as common
+    monkeypatch.setattr(simhash, "HOT", 40)
+    monkeypatch.setattr(simhash, "MOST", 1)
+    assert dict(map(tuple, simhash.similar_documents(df).collect())) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
+def test_exact_filter_keeps_similar_sets(common, own, other, seed):
+    r = np.random.default_rng(seed)
+    hashes = r.integers(0, 1 << 63, common + own + other, np.uint64)
+    x, y = np.sort(hashes[: common + own]), np.sort(np.concatenate([hashes[:common], hashes[common + own :]]))
+    if common < 0.8 * (common + own + other) - 1e-9:
+        return
+    a, b = x[: simhash.prefix_length(len(x), 0.8)], y[: simhash.prefix_length(len(y), 0.8)]
+    assert np.intersect1d(a, b).size
+    apart = np.abs(np.frombuffer(simhash.bins(x), np.uint8).astype(int) - np.frombuffer(simhash.bins(y), np.uint8)).sum()
+    assert apart <= own + other
+
+
 def brute_repeats(rows, length):
     """rows: distinct (key, text). What goes from each, by all windows of the corpus."""
     raws = [t.encode() for _, t in rows]
