@@ -280,7 +280,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key`` and component_id of documents that are alike: linked where the Jaccard similarity of their distinct shingles is ``similarity`` or more.
 
-    SimHash finds most links cheaply: texts that share a band of least hashes are searched in BK-trees of their fingerprints. Links that
+    SimHash proposes most links cheaply: texts that share a band of least hashes are searched in BK-trees of their fingerprints. Links that
     sketches miss come from an exact filter: two sets that similar share one of the first ``prefix_length`` shingles of each in one order, here by
     hash with common ones last. Only pairs between components found so far are taken from it, so a group of alike texts gives none. ``df`` is read several
     times. Null and empty texts are alike; null keys have a null component_id unless a row with a key has equal shingles.
@@ -315,7 +315,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     keyed = nodes.select("node", "fp", "sketch", F.explode("bands").alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     paired = _dealt(keyed, ["shard"], "node")
     links = paired.groupBy("shard", "lo", "hi").applyInPandas(_similar(radius, similarity - SLACK), "u long, v long")
-    roots = connected_components(links)
+    roots = connected_components(confirmed(links, df, key, text, words, similarity))
 
     known = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.posexplode("prefix").alias("pos", "key"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("mixed"))

@@ -207,6 +207,17 @@ def test_similar_documents_find_every_pair_at_the_bound(spark, monkeypatch):
     assert dict(map(tuple, simhash.similar_documents(df).collect())) == want
 
 
+def test_similar_documents_link_nothing_below_the_bound(spark):
+    rows = similar_pairs([(48, 8), (198, 33), (402, 67), (196, 42), (190, 25)] * 40, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all(k == c for k, c in simhash.similar_documents(df).collect())
+    # a chain: each text is alike to the next by 0.8 or more, and one hangs on by less
+    words = [f"w{i}" for i in range(130)]
+    chain = [(k, " ".join(words[5 * k : 5 * k + 94])) for k in range(4)] + [(9, " ".join(words[:64] + [f"x{i}" for i in range(30)]))]
+    got = dict(map(tuple, simhash.similar_documents(spark.createDataFrame(chain, "doc_id long, text string")).collect()))
+    assert got == brute_components(chain) == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_exact_filter_keeps_similar_sets(common, own, other, seed):
