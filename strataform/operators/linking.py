@@ -28,14 +28,16 @@ def folded(c: Column) -> Column:
 def link_names(names: DataFrame, labels: DataFrame, name: str = "name", least: float = LEAST) -> DataFrame:
     """(name, kind, id, score): the labels that each distinct name is equal or similar to.
 
-    Equal names join by key. Only names without an equal label are compared with labels, of like length and with the same first letter,
-    as a join by key too: no cross join.
+    Equal names join by key. Only names without an equal label are compared with labels, those of every length that ``least`` allows: the shorter
+    is at least ``least`` of the longer. That is a join by key too, and leaves no label out; its work grows with names times labels of like length.
     """
     asked = names.select(F.col(name).alias("name")).distinct().where("name is not null").withColumn("__f", folded(F.col("name")))
     known = labels.withColumn("__l", folded(F.col("label")))
     equal = asked.join(known, asked["__f"] == known["__l"]).select("name", "kind", "id", F.lit(1.0).alias("score"))
-    rest = asked.join(equal.select("name"), "name", "left_anti").where(F.length("__f") >= 4).withColumn("__a", F.substring("__f", 1, 1))
-    near = rest.join(known.withColumn("__b", F.substring("__l", 1, 1)), (F.col("__a") == F.col("__b")) & (F.abs(F.length("__f") - F.length("__l")) <= 3))
+    rest = asked.join(equal.select("name"), "name", "left_anti").withColumn("__a", F.length("__f"))
+    size = F.length("__l")
+    lengths = F.sequence(F.ceil(size * least - 1e-9).cast("int"), F.floor(size / least + 1e-9).cast("int"))
+    near = rest.join(known.withColumn("__b", F.explode(lengths)), F.col("__a") == F.col("__b"))
     near = near.withColumn("score", levenshtein_similarity(F.col("__f"), F.col("__l"))).where(F.col("score") >= least)
     return equal.unionByName(near.select("name", "kind", "id", "score")).groupBy("name", "kind", "id").agg(F.max("score").alias("score"))
 
