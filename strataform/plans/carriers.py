@@ -566,8 +566,7 @@ def g24_split_unit_property(spark, sf):
 @query()
 def g16_steiner_trees(spark, sf):
     nodes, edges = _graph(spark, sf)
-    few = edges.where("(dst like 'column:%' and cast(substring_index(dst, ':', -1) as int) < 5 and src like '%:0') or (src like '%:0' and dst like '%:0')")
-    scored = few.withColumn("prob", F.when(col("source") == G.FROM_TYPES, col("score") / 200000).otherwise(col("score")))
+    scored = edges.withColumn("prob", F.when(col("source") == G.FROM_TYPES, col("score") / 200000).otherwise(col("score")))
     return steiner_trees(nodes, scored)
 
 

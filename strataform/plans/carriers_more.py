@@ -114,8 +114,8 @@ def g8_statement_graph(spark, sf):
 @query()
 def g22_tree_to_model(spark, sf):
     nodes, edges = _graph(spark, sf)
-    few = edges.where("src like '%:0' and (dst like '%:0' or dst in ('column:1', 'column:2'))").withColumn("prob", F.least(col("score") / 200000, lit(1.0)))
-    return S.tree_to_model(S.steiner_trees(nodes, few), nodes)[1]
+    scored = edges.withColumn("prob", F.least(col("score") / 200000, lit(1.0)))
+    return S.tree_to_model(S.steiner_trees(nodes, scored), nodes)[1]
 
 
 @query("""
