@@ -142,6 +142,14 @@ def suffix_order(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def leading_zero_bytes(words: np.ndarray) -> np.ndarray:
+    """How many bytes at the top of each number (not zero) are zero; in integers, as a float can't tell 2**56 - 1 from 2**56."""
+    lead = np.zeros(len(words), np.int64)
+    for shift in range(8, 64, 8):
+        lead += words >> np.uint64(shift) == 0
+    return lead
+
+
 def common_prefixes(raw: bytes, order: np.ndarray, rank: np.ndarray, depth: int) -> np.ndarray:
     """For each position a common prefix with some other suffix: with the one before it in ``order``, or longer; up to ``depth``."""
     n = len(raw)
@@ -161,9 +169,7 @@ def common_prefixes(raw: bytes, order: np.ndarray, rank: np.ndarray, depth: int)
         diff = word[a + size] ^ word[b + size]
         equal = diff == 0
         ended = ~equal
-        # bytes that agree at the top of the first word that differs
-        lead = (63 - np.floor(np.log2(np.maximum(diff[ended], np.uint64(1)).astype(np.float64)))).astype(np.int64).clip(0, 63) // 8
-        found[a[ended]] = size + lead
+        found[a[ended]] = size + leading_zero_bytes(diff[ended])
         found[a[equal]] = size + 8
         a, b = a[equal], b[equal]
         size += 8
@@ -444,7 +450,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
 
 def repeat_digests(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
-    """Per row: ``key``, n_bytes, n_removed, n_spans and kept_sha256."""
+    """Per row: ``key``, n_bytes (of the whole text), n_removed, n_spans, kept_sha256 and kept_bytes (of what is left)."""
     done = drop_repeats(df.select(F.col(key).cast("long").alias(key), text), key, text, length)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return done.select(key, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(key, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("kept_bytes"))

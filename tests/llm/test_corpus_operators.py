@@ -275,10 +275,33 @@ def test_repeats(spark, docs, none, monkeypatch, split):
     own += [(30000, "ab" * 700), (30001, "c" * 405), (30002, "c" * 400 + "d"), (30003, "é" * 250), (30004, "é" * 250 + "x"), (30005, shared[100:499]), (30006, shared[100:500])]
     df = spark.createDataFrame(own, "doc_id long, text string")
     got = Counter(tuple(x) for x in suffix_dedup.repeat_digests(df).collect())
-    assert got == Counter((k, *x) for (k, _), x in zip(own, brute_repeats(own, 400), strict=True))
+    assert got == Counter((k, *x, x[0] - x[1]) for (k, _), x in zip(own, brute_repeats(own, 400), strict=True))
     assert suffix_dedup.repeat_digests(none).count() == 0
 
 
+@given(st.lists(st.integers(1, (1 << 64) - 1), min_size=1, max_size=50))
+def test_leading_zero_bytes(words):
+    words += [(1 << s) - d for s in range(1, 64) for d in (0, 1)]
+    assert suffix_dedup.leading_zero_bytes(np.array(words, np.uint64)).tolist() == [8 - (w.bit_length() + 7) // 8 for w in words]
+
+
+@pytest.mark.parametrize("extra", [1, 7, 9, 16])
+def test_repeats_before_bytes_far_apart(spark, extra):
+    """The words after the repeated part differ by nearly a power of two: a rounded logarithm would lose a byte."""
+    r = np.random.default_rng(extra)
+    rows = []
+    for i in range(6):
+        shared = "".join(r.choice(list("abcdefgh "), 400 + extra))
+        head = ["".join(r.choice(list("uvwxyz"), 50 + 3 * i + j)) for j in range(2)]
+        rows += [(2 * i, head[0] + shared + "<@" * 60), (2 * i + 1, head[1] + shared + "\xff" * 60)]
+    pieces = [(shared.encode() + (x * 60).encode()) for x in ("<@", "\xff")]
+    counts = [len(p) - 399 for p in pieces]
+    group, offset = suffix_dedup.window_classes(pieces, counts, 400)
+    assert (group[: extra + 1] == group[offset[1] : offset[1] + extra + 1]).all()
+    got = Counter(tuple(x) for x in suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((k, *x, x[0] - x[1]) for (k, _), x in zip(rows, brute_repeats(rows, 400), strict=True))
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 1000))
     df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, text[:600], "c")], "doc_id long, text string, n_bytes string")
