@@ -34,20 +34,66 @@ def test_dual_tree_against_brute_force(seed, n, dim, width):
         assert [(int(a), int(b)) for a, b in zip(best.id[i], best.score[i]) if a != np.iinfo(np.int64).max] == want[int(k)]
 
 
-def test_cover_tree_radii():
-    x = np.random.default_rng(3).normal(size=(2000, 4))
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 28])
+def test_cover_tree_is_one(scale):
+    """Nesting, covering and separation, and every row in one leaf; also where distances are rounded."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.integers(0, 40, (40, 3))[r.integers(0, 40, 3000)] * 1000 + r.integers(-30, 31, (3000, 3)), np.full((200, 3), 7)]) * scale
     tree = covertree.CoverTree(x)
 
     def below(node):
-        if tree.rows[node] is not None:
-            return tree.rows[node]
-        for c in tree.children[node]:
-            assert tree.radius[c] <= tree.radius[node] * 2
-        return np.concatenate([below(c) for c in tree.children[node]])
+        return tree.rows[node] if tree.rows[node] is not None else np.concatenate([below(c) for c in tree.children[node]])
 
+    inner = [n for n in range(len(tree.centre)) if tree.children[n]]
+    assert len(inner) > 10
     for node in range(len(tree.centre)):
-        assert np.linalg.norm(x[below(node)] - tree.centre[node], axis=1).max() <= tree.radius[node] + 1e-9
-    assert sorted(below(tree.root)) == list(range(2000))
+        assert np.linalg.norm(tree.points[below(node)] - tree.points[tree.centre[node]], axis=1).max() <= tree.radius[node] * (1 + 1e-9)
+    for node in inner:
+        centres = [tree.centre[c] for c in tree.children[node]]
+        assert centres[0] == tree.centre[node]
+        assert all(tree.radius[c] <= tree.radius[node] / 2 for c in tree.children[node])
+        apart = [np.linalg.norm(tree.points[a] - tree.points[b]) for i, a in enumerate(centres) for b in centres[:i]]
+        assert min(apart) > tree.radius[node] / 2 * (1 - 1e-6)
+    assert sorted(below(tree.root)) == list(range(len(x)))
+
+
+def test_dual_tree_prunes_clusters():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(60, 16))
+    x = np.round(400 * (centres / np.linalg.norm(centres, axis=1)[:, None])[r.integers(0, 60, 6000)] + r.normal(size=(6000, 16)) * 4).astype(np.int64)
+    ids = np.arange(6000)
+    best = covertree.search(x[::50], ids[::50], x, ids, 5)
+    want = brute_top(ids, x, ids % 50 == 0, 5)
+    assert {int(q): [(int(a), int(b)) for a, b in zip(best.id[i], best.score[i])] for i, q in enumerate(ids[::50])} == want
+    assert best.scored < 0.2 * 120 * 6000
+
+
+@pytest.mark.parametrize("parts", [16, 400])
+def test_top_k_in_rounds(spark, monkeypatch, parts):
+    """Many pivots and parts, blocks of few queries, many copies of one vector, and a dimension that the sample misses."""
+    monkeypatch.setattr(covertree, "LEAST", 8)
+    monkeypatch.setattr(covertree, "PARTS", parts)
+    monkeypatch.setattr(covertree, "BLOCK", 7)
+    monkeypatch.setattr(covertree, "SAMPLE", 60)
+    r = np.random.default_rng(6)
+    x = (np.eye(8)[r.integers(0, 8, 900)] + r.normal(size=(900, 8)) * 0.1).round(3)
+    x[300:600] = x[300]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + 50 * i, [0.5 * i, 1.0]) for i in range(3)]
+    got = defaultdict(list)
+    for q in covertree.top_k_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got[q.query_id].append((q["rank"], q.vec_id, q.score))
+    want = brute_top(np.arange(900), np.floor(x * 256).astype(np.int64), np.arange(900) % 50 == 0, 5)
+    want |= brute_top(np.array([2000, 2050, 2100]), np.array([[0, 256], [128, 256], [256, 256]]), np.ones(3, bool), 5)
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(i + 1, *p) for i, p in enumerate(v)] for k, v in want.items()}
+
+
+def test_top_k_of_large_numbers(spark):
+    kind = "vec_id long, embedding array<double>"
+    fine = [(0, [1e6, 3.0]), (1, [1e6 - 1, 2.0]), (2, [-1e6, 1.0]), (50, [0.004, 1.0])]
+    got = {(q.query_id, q["rank"]): (q.vec_id, q.score) for q in covertree.top_k_search(spark.createDataFrame(fine, kind), F.col("vec_id") % 50 == 0).collect()}
+    assert got[0, 1] == (1, 256000000 * 255999744 + 768 * 512) and got[50, 1] == (0, 256000000 + 256 * 768)
+    with pytest.raises(Exception, match="may not fit 64 bits"):
+        covertree.top_k_search(spark.createDataFrame([*fine, (3, [1e300, 0.0])], kind), F.col("vec_id") % 50 == 0).collect()
 
 
 def test_top_k_in_spark(spark):
