@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +19,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset and all runs in this one process (tests), a temporary folder; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    import tempfile
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir()
 
-    made = "file://" + tempfile.mkdtemp(prefix="strataform-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="strataform-")
+
+
+def no_reserved(df: DataFrame) -> DataFrame:
+    """``df``, if no name begins with ``__`` (operators keep such names for themselves); else an error."""
+    taken = [c for c in df.columns if c.startswith("__")]
+    if taken:
+        raise ValueError(f"column names that begin with __ are reserved: {', '.join(taken)}")
+    return df
 
 
 _WRITTEN: list[str] = []

@@ -31,7 +31,7 @@ LEAF, SAMPLE, PIVOTS, ROWS, BLOCK, PARTS, LEAST = 48, 2048, 64, 32768, 32768, 16
 NORM = 2.0**31
 
 
-def farthest_first(points: np.ndarray, first: int, away: np.ndarray, reach: float, most: int, slack: float = 0.0) -> tuple[list[int], np.ndarray, np.ndarray] | None:
+def farthest_first(points: np.ndarray, square: np.ndarray, first: int, away: np.ndarray, reach: float, most: int, slack: float = 0.0) -> tuple[list[int], np.ndarray, np.ndarray] | None:
     """Centres over ``reach`` apart that cover all ``points`` within ``reach``: (centres, index of each point's nearest, its distance).
 
     ``first`` is the first centre, ``away`` the distances to it. None if that takes more than ``most`` centres.
@@ -41,16 +41,16 @@ def farthest_first(points: np.ndarray, first: int, away: np.ndarray, reach: floa
         if len(centres) == most:
             return None
         far = int(nearest.argmax())
-        step = distances(points, points[far], slack)
+        step = distances(points, points[far], slack, square)
         closer = step < nearest
         owner[closer], nearest[closer] = len(centres), step[closer]
         centres.append(far)
     return centres, owner, nearest
 
 
-def distances(points: np.ndarray, centre: np.ndarray, slack: float) -> np.ndarray:
-    """Euclidean distances, raised by what rounding may have taken (``slack`` of the squared norms; 0 where sums are exact)."""
-    square, own = (points**2).sum(axis=1), float(centre @ centre)
+def distances(points: np.ndarray, centre: np.ndarray, slack: float, square: np.ndarray | None = None) -> np.ndarray:
+    """Euclidean distances, raised by what rounding may have taken (``slack`` of the squared norms, which ``square`` may give; 0 where sums are exact)."""
+    square, own = (points**2).sum(axis=1) if square is None else square, float(centre @ centre)
     return np.sqrt(np.maximum(square + own - 2 * (points @ centre), 0) + slack * (square + own))
 
 
@@ -71,6 +71,7 @@ class CoverTree:
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray | None] = []
         self.norm = np.linalg.norm(self.points, axis=1) * (1 + 1e-12)
+        self.square = (self.points**2).sum(axis=1)
         self.root = self._grow() if len(points) else -1
 
     def _add(self, own: np.ndarray, centre: int, away: np.ndarray) -> int:
@@ -93,7 +94,7 @@ class CoverTree:
             if len(own) <= LEAF or reach <= 1e-5 * self.norm[self.centre[node]]:
                 continue
             first = int(np.flatnonzero(own == self.centre[node])[0])
-            found = farthest_first(self.points[own], first, away, reach / 2, min(max(64, len(own) // LEAF), len(own) // 2), self.slack)
+            found = farthest_first(self.points[own], self.square[own], first, away, reach / 2, min(max(64, len(own) // LEAF), len(own) // 2), self.slack)
             if found is None:
                 continue
             centres, owner, nearest = found

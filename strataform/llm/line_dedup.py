@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import no_reserved, written
 
 WINDOW = 3
 
@@ -41,10 +41,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", report:
 
     Lines are what ``\\n`` separates; a text of fewer than three has no window and stays whole. A null text stays null.
     Rows with a null key stay whole and count for nobody. Rows equal in key and text are the same document: each of them
-    keeps or loses the same lines. Names that begin with ``__`` are kept for the operator's own use. With ``report``, a column
+    keeps or loses the same lines. Names that begin with ``__`` raise an error. With ``report``, a column
     of that name is added: struct of lines, removed and spans (maximal removed runs).
     """
-    names = df.columns
+    names = no_reserved(df).columns
     marks = repeated_windows(df, key, text)
     rows = df.withColumn("__own", F.xxhash64(text))
     joined = rows.join(marks, (F.col(key) == F.col("__key")) & (F.col("__own") == F.col("__sig")), "left")

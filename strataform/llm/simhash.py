@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, BK-trees over shards of them, and connected components.
 
 Two fingerprints of 64 bits that differ in at most r bits agree in one of r + 1 blocks of bits. For each block, the
-fingerprints are dealt to shards by the block's value, so every link lies within some shard; a shard holds about
-``SHARD`` fingerprints whatever the corpus. A task builds the shard's BK-tree (children keyed by their
+fingerprints are dealt to shards by the block's value, so every link lies within some shard. A value that over ``HOT`` fingerprints
+share is cut once more by blocks of the other bits, so shards stay small while a corpus has fewer fingerprints than 2**28 times ``SHARD``. A task builds the shard's BK-tree (children keyed by their
 integer Hamming distance to the parent) and looks up the shard's fingerprints in it, following only edges within the radius
 of a query's distance. Trees are thus brought to their queries by the shuffle: taken together they grow with the corpus, so they
 have no size bound that would allow a broadcast. A shard beyond ``HOT`` is cut into parts, and each pair of parts is a task: tree of
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +30,7 @@ SHARD, HOT, LEAF = 2048, 8192, 16
 #: the similarity asked for, and bits beyond the radius, as fingerprints spread around a similarity. PAIRS: pairs a task holds before it thins them. BINS: counts of shingles by hash.
 #: Shingles that COMMON of about SAMPLE documents have come last in the order of the exact filter, at most MOST of them.
 SKETCH, BANDS, ROWS, SLACK, SPREAD, PAIRS, BINS = 80, 10, 4, 0.08, 2, 1 << 21, 128
-SAMPLE, COMMON, MOST = 8192, 4, 100_000
+SAMPLE, COMMON, MOST, BATCH = 8192, 4, 100_000, 1 << 16
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -58,44 +59,47 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 class BkTree:
-    """A BK-tree over fingerprints; subtrees of at most ``LEAF`` items are lists."""
+    """A BK-tree over distinct fingerprints; subtrees of at most ``LEAF`` items are lists. Built and walked with stacks, so any depth will do."""
 
     def __init__(self, items: np.ndarray):
         self.items = items.astype(np.uint64)
-        self.root = self._grow(np.arange(len(items)))
-
-    def _grow(self, own: np.ndarray):
-        if len(own) <= LEAF:
-            return own
-        pivot, rest = own[0], own[1:]
-        away = np.bitwise_count(self.items[rest] ^ self.items[pivot])
-        order = np.argsort(away, kind="stable")
-        keys, starts = np.unique(away[order], return_index=True)
-        return int(pivot), {int(k): self._grow(part) for k, part in zip(keys, np.split(rest[order], starts[1:]), strict=True)}
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query index, item index) at ``radius`` or less; the queries walk the tree together."""
+        #: A list of items, or (pivot, {distance: node}).
+        self.nodes: list[np.ndarray | tuple[int, dict[int, int]]] = [np.arange(len(items))]
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            own = self.nodes[at]
+            if len(own) <= LEAF:
+                continue
+            pivot, rest = int(own[0]), own[1:]
+            away = np.bitwise_count(self.items[rest] ^ self.items[pivot])
+            order = np.argsort(away, kind="stable")
+            keys, starts = np.unique(away[order], return_index=True)
+            children = range(len(self.nodes), len(self.nodes) + len(keys))
+            self.nodes += np.split(rest[order], starts[1:])
+            self.nodes[at] = (pivot, dict(zip(keys.tolist(), children, strict=True)))
+            todo += children
+
+    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (query index, item index) at ``radius`` or less, in blocks of at most ``LEAF`` times as many as queries; the queries walk the tree together."""
         queries = queries.astype(np.uint64)
-        hits: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = [(self.root, np.arange(len(queries)))]
+        todo = [(0, np.arange(len(queries)))]
         while todo:
-            node, live = todo.pop()
+            at, live = todo.pop()
+            node = self.nodes[at]
             if isinstance(node, np.ndarray):
                 if len(node) and len(live):
                     q, t = np.nonzero(np.bitwise_count(queries[live][:, None] ^ self.items[node][None, :]) <= radius)
-                    hits.append((live[q], node[t]))
+                    yield live[q], node[t]
                 continue
             pivot, children = node
             away = np.bitwise_count(queries[live] ^ self.items[pivot]).astype(np.int16)
             near = live[away <= radius]
-            hits.append((near, np.full(len(near), pivot)))
+            yield near, np.full(len(near), pivot)
             for key, child in children.items():
                 follow = live[np.abs(away - key) <= radius]
                 if len(follow):
                     todo.append((child, follow))
-        if not hits:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([a for a, _ in hits]), np.concatenate([b for _, b in hits])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,6 +117,29 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Forest:
+    """Components of ``n`` nodes under links that come in blocks: a label for each node, and ``PAIRS`` links or a block at most."""
+
+    def __init__(self, n: int):
+        self.label, self.a, self.b, self.held = np.arange(n), [], [], 0
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.label[a], self.label[b]
+        new = a != b
+        self.a.append(a[new])
+        self.b.append(b[new])
+        self.held += int(new.sum())
+        if self.held > PAIRS:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The smallest index of each node's component."""
+        if self.held:
+            self.label = forest(len(self.label), np.concatenate(self.a), np.concatenate(self.b))[self.label]
+        self.a, self.b, self.held = [], [], 0
+        return self.label
+
+
 def _links(radius: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", kind="stable")
@@ -120,8 +147,10 @@ def _links(radius: int):
         print_ = print_.view(np.uint64)
         first = np.flatnonzero(part == part.min())
         other = np.flatnonzero(part == part.max())
-        q, t = BkTree(print_[first]).within(print_[other], radius)
-        label = forest(len(node), other[q], first[t])
+        found = Forest(len(node))
+        for q, t in BkTree(print_[first]).within(print_[other], radius):
+            found.link(other[q], first[t])
+        label = found.settle()
         moved = np.flatnonzero(label != np.arange(len(node)))
         return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
@@ -165,38 +194,80 @@ def strongest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nd
     return np.concatenate(kept)
 
 
+def leaders(bytes_: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(leader of each row, equal bytes with it): a row follows the first leader that agrees in ``least`` of its bytes, or leads."""
+    lead, equal = np.arange(len(bytes_)), np.full(len(bytes_), bytes_.shape[1], np.int64)
+    left = np.arange(len(bytes_))
+    while len(left):
+        same = (bytes_[left] == bytes_[left[0]]).sum(axis=1)
+        near = same >= least
+        lead[left[near]], equal[left[near]] = left[0], same[near]
+        left = left[~near]
+    return lead, equal
+
+
 def _similar(radius: int, least: float):
+    """Links to be confirmed: rows of one key and fingerprint follow leaders, and leaders of near fingerprints are compared."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "node"], kind="stable")
+        group = group.sort_values(["key", "part", "fp", "node"], kind="stable")
         node, print_, part, key = (group[c].to_numpy() for c in ("node", "fp", "part", "key"))
-        print_ = print_.view(np.uint64)
         bytes_ = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
-        low, high = part == part.min(), part == part.max()
         # the same pair of rows may be in several bands, and a node in several rows: links go between nodes
         ids, index = np.unique(node, return_inverse=True)
-        a, b, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        a, b, same, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [0, 0]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> None:
+            ok = (index[x] != index[y]) & (equal >= least * SKETCH)
+            a.append(index[x[ok]])
+            b.append(index[y[ok]])
+            same.append(equal[ok].astype(np.uint8))
+            held[0] += len(a[-1])
+            if held[0] > PAIRS:
+                thin()
 
         def thin() -> None:
             x, y, w = map(np.concatenate, (a, b, same))
             at = strongest(len(ids), x, y, w)
-            a[:], b[:], same[:] = [x[at]], [y[at]], [w[at]]
-
-        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo < 2:
-                continue
-            first, other = lo + np.flatnonzero(low[lo:hi]), lo + np.flatnonzero(high[lo:hi])
-            q, t = BkTree(print_[first]).within(print_[other], radius)
-            q, t = other[q], first[t]
-            for at in range(0, len(q), 1 << 16):
-                x, y = q[at : at + (1 << 16)], t[at : at + (1 << 16)]
-                equal = (bytes_[x] == bytes_[y]).sum(axis=1)
-                ok = (x != y) & (equal >= least * SKETCH)
-                a.append(index[x[ok]])
-                b.append(index[y[ok]])
-                same.append(equal[ok].astype(np.uint8))
-                if sum(map(len, a[1:])) > PAIRS:
-                    thin()
+            a[:], b[:], same[:], held[0] = [x[at]], [y[at]], [w[at]], 0
+
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(print_) != 0), [True]]))
+        heads: list[list[tuple[int, np.ndarray]]] = [[], []]  # of the first and the last part of one key: (fingerprint, leaders)
+
+        def across() -> None:
+            alone = part.min() == part.max()
+            first, other = heads[0], heads[0] if alone else heads[1]
+            if first and other:
+                tree = BkTree(np.array([f for f, _ in first], np.int64).view(np.uint64))
+                for q, t in tree.within(np.array([f for f, _ in other], np.int64).view(np.uint64), radius):
+                    for i, j in zip(q[q > t], t[q > t]) if alone else zip(q, t):
+                        compare(other[i][1], first[j][1])
+            heads[0], heads[1] = [], []
+            compare(np.zeros(0, np.int64), np.zeros(0, np.int64), True)
+
+        def compare(x: np.ndarray, y: np.ndarray, last: bool = False) -> None:
+            for at in range(0, len(x), max(1, BATCH // max(1, len(y)))):
+                own = x[at : at + max(1, BATCH // max(1, len(y)))]
+                waiting.append((np.repeat(own, len(y)), np.tile(y, len(own))))
+                held[1] += len(waiting[-1][0])
+                if held[1] >= BATCH:
+                    flush()
+            if last and waiting:
+                flush()
+
+        def flush() -> None:
+            x, y = (np.concatenate(z) for z in zip(*waiting))
+            waiting.clear()
+            held[1] = 0
+            take(x, y, (bytes_[x] == bytes_[y]).sum(axis=1))
+
+        for lo, hi in zip(new[:-1], new[1:]):
+            lead, equal = leaders(bytes_[lo:hi], least * SKETCH)
+            take(np.arange(lo, hi), lo + lead, equal)
+            heads[int(part[lo] != part.min())].append((int(print_[lo]), lo + np.unique(lead)))
+            if hi == len(key) or key[hi] != key[lo]:
+                across()
         thin()
         return pd.DataFrame({"u": ids[np.maximum(a[0], b[0])], "v": ids[np.minimum(a[0], b[0])]})
 
@@ -349,13 +420,26 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """
     blocks = radius + 1
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    values = F.array(*(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:])))
+    bits = lambda fp, lo, hi: F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+    values = F.array(*(bits("fp", lo, hi) for lo, hi in zip(edges, edges[1:])))
+    keyed = nodes.select("node", "fp", F.posexplode(values).alias("block", "value"))
+    # fingerprints that agree in a frequent block differ in the other bits only, so these are cut into blocks likewise
+    sizes = keyed.groupBy("block", "value").count().where(f"count > {HOT}")
+    often = sizes.select(F.col("block").cast("string").cast("int").alias("of"), F.col("value").cast("string").cast("long").alias("such"))
+    known = keyed.join(often, (F.col("block") == F.col("of")) & (F.col("value") == F.col("such")), "left")
+    turned = F.lit(0).cast("long")
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):  # the block's bits on top
+        up = 64 - hi
+        turned = F.when(F.col("block") == i, F.shiftleft("fp", up).bitwiseOR(F.shiftrightunsigned("fp", 64 - up)) if up else F.col("fp")).otherwise(turned)
+    rest = min(64 - (hi - lo) for lo, hi in zip(edges, edges[1:]))
+    cuts = [rest * i // blocks for i in range(blocks)] + [64 - min(hi - lo for lo, hi in zip(edges, edges[1:]))]
+    below = F.array(*(F.struct(F.lit(i).alias("sub"), bits("turned", lo, hi).alias("more")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("more")))
+    split = known.withColumn("turned", turned).select("node", "fp", "block", "value", F.inline(F.when(F.col("of").isNotNull(), below).otherwise(whole)))
     shards = max(1, -(-nodes.count() // SHARD))
-    keyed = nodes.select("node", "fp", F.posexplode(values).alias("block", "value")).select(
-        "node", "fp", "block", F.pmod(F.xxhash64("block", "value"), F.lit(shards)).alias("shard")
-    )
-    paired = _dealt(keyed, ["block", "shard"], "fp")
-    return paired.groupBy("block", "shard", "lo", "hi").applyInPandas(_links(radius), "u long, v long")
+    dealt = split.select("node", "fp", "block", "sub", F.pmod(F.xxhash64("block", "value", "sub", "more"), F.lit(shards)).alias("shard"))
+    paired = _dealt(dealt, ["block", "sub", "shard"], "fp")
+    return paired.groupBy("block", "sub", "shard", "lo", "hi").applyInPandas(_links(radius), "u long, v long")
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:

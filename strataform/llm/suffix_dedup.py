@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import no_reserved, written
 
 GRAM, BITS, SPLIT, SHARD_BYTES, ARRAY_BYTES, PIECE_BYTES = 32, 6, 512, 2_000_000, 200_000, 16_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -424,9 +424,9 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     Every byte covered by a string of ``length`` bytes that also starts elsewhere, in the same or another document, goes;
     copies go all alike, so none is left of text that occurs twice. Null texts count as empty. Rows equal in key
     and text are one document: they aren't elsewhere for each other. Existing columns with the names of the results are replaced, and names that
-    begin with ``__`` are kept for the operator's own use.
+    begin with ``__`` raise an error.
     """
-    names = [c for c in df.columns if c not in ("n_bytes", "spans", "kept")]
+    names = [c for c in no_reserved(df).columns if c not in ("n_bytes", "spans", "kept")]
     whole = df.select(*names).withColumn(text, F.coalesce(F.col(text), F.lit("")))
     spans = repeated_spans(whole, key, text, length).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
     joined = whole.withColumn("__own", _doc_key(key, text)).join(spans, F.col("__own") == F.col("__doc"), "left").select(*names, "__spans")
