@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 The solver sees only how many pieces there are of each length (``capacity`` numbers at most, whatever the
-corpus). Lengths are taken from the longest down. For the gap that a piece leaves, the sums of one, two or three available
-lengths are looked up; a combination that fills the gap exactly is used as often as the counts allow. What finds no
-exact complement is packed by best fit, longest first. The plan says, for each length, which ranks go to which
-sequences; pieces get their rank within (length, salt) by a window, so one frequent length is spread over many tasks.
+corpus). Single lengths, sums of two and sums of three are indexed by their total. Lengths are taken from the longest down. For the gap that a piece
+leaves, the index gives one, two or three available lengths with exactly that sum; such a combination is used as often as the counts allow. What finds no
+exact complement is packed by best fit, longest first. Pieces as long as a sequence need no place in the plan. The plan says, for each other length, which ranks go to which
+sequences; pieces get their rank within (length, salt) by a window, with as many salts as the length has ``SALTED`` pieces.
 """
 
 from __future__ import annotations
@@ -19,45 +19,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, no_reserved, written
 
-SALTS = 256
+SALTED = 50_000
 
 
 class Complements:
-    """Available counts by length, and the lookup of one, two or three lengths with a given sum."""
+    """Available counts by length, and an index of the sums of one, two and three lengths.
+
+    Counts only fall, so an entry of the index that has run out is passed for good: each is looked at once, whatever the number of lookups.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
         self.left[0] = 0
+        lengths, top = np.flatnonzero(self.left), len(counts) - 1
+        longer, shorter = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        fits = (longer >= shorter) & (longer + shorter <= top)
+        longer, shorter = longer[fits], shorter[fits]
+        order = np.lexsort((-longer, longer + shorter))  # of one sum, the longest first
+        #: Pairs by their sum: those of sum s are longer[first[s]:first[s + 1]] and the shorter beside them; ``pair_at`` is the first that may be left.
+        self.longer, self.shorter = longer[order], shorter[order]
+        self.first = np.searchsorted(self.longer + self.shorter, np.arange(top + 2))
+        self.pair_at = self.first[:-1].copy()
+        #: Triples by their sum: a longest length, then a pair with the rest; ``triple_at`` is the longest that may be left.
+        self.triple_at = np.arange(top + 1)
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         """Lengths, at most three and longest first, that fill ``gap`` exactly and are available together."""
-        have = self.left
-        if have[gap] > 0:
+        if gap > 0 and self.left[gap] > 0:
             return (gap,)
         return self._pair(gap) or self._triple(gap)
 
-    def _pair(self, gap: int) -> tuple[int, ...] | None:
-        have = self.left
-        low = np.arange(1, gap // 2 + 1)  # the shorter of two
-        ok = (have[low] > 0) & (have[gap - low] > 0)
-        if gap % 2 == 0 and len(low):
-            ok[-1] = have[gap // 2] >= 2
-        hit = np.flatnonzero(ok)
-        return (gap - int(low[hit[0]]), int(low[hit[0]])) if len(hit) else None
-
-    def _triple(self, gap: int) -> tuple[int, ...] | None:
-        have = self.left
-        for first in np.flatnonzero(have[: max(gap - 1, 0)])[::-1]:
-            first = int(first)
-            if first * 3 < gap:
-                break
-            have[first] -= 1
-            rest = self._pair(gap - first)
-            have[first] += 1
-            if rest:
-                return (first, *rest)
+    def _pair(self, total: int, taken: int = 0, longest: int | None = None) -> tuple[int, int] | None:
+        """A pair with that sum, none over ``longest``, if one piece of length ``taken`` is spoken for."""
+        have, at, stop = self.left, int(self.pair_at[total]), int(self.first[total + 1])
+        settled = True
+        while at < stop:
+            x, y = int(self.longer[at]), int(self.shorter[at])
+            gone = have[x] <= (x == y) or have[y] <= 0
+            if not gone and (longest is None or x <= longest) and have[x] - (x == taken) > (x == y) and have[y] - (y == taken) > 0:
+                return x, y
+            settled = settled and gone
+            at += 1
+            if settled:
+                self.pair_at[total] = at
+        return None
+
+    def _triple(self, total: int) -> tuple[int, int, int] | None:
+        x = int(self.triple_at[total])
+        while 3 * x >= total and x > 0:
+            if self.left[x] > 0 and x < total:
+                rest = self._pair(total - x, x, x)
+                if rest:
+                    return (x, *rest)
+            x -= 1
+            self.triple_at[total] = x  # a longest length without a pair for the rest never has one again
         return None
 
     def take(self, lengths: tuple[int, ...], most: int) -> int:
@@ -74,8 +91,9 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]
     plan: list[tuple[int, tuple[int, ...]]] = []
     if counts[capacity]:
         plan.append((int(counts[capacity]), (capacity,)))
-    index = Complements(counts)
-    index.left[capacity] = 0
+    partial = counts.copy()
+    partial[capacity] = 0
+    index = Complements(partial)
     rest = np.zeros(capacity + 1, np.int64)
     for n in range(capacity - 1, 0, -1):
         while index.left[n] > 0:
@@ -136,32 +154,42 @@ def best_fit_pack(pieces: DataFrame, capacity: int, order: list[str], length: st
     """Add sequence_id and offset (both long) to ``pieces``; sequences hold at most ``capacity``.
 
     ``order`` names columns that tell rows apart; rows equal in them are placed in any order among themselves. Existing
-    columns with the names of the results are replaced. Lengths outside 1..capacity, or null, raise an error: cut longer
-    pieces first. An empty input gives an empty result. ``pieces`` is read twice, so it should be a written table.
+    columns with the names of the results are replaced; names that begin with ``__`` raise an error. Lengths outside 1..capacity, or null, raise an error: cut longer
+    pieces first. An empty input gives an empty result. ``pieces`` is read several times, so it should be a written table. The driver
+    gets a count for each length, and one for each ``SALTED`` pieces. Ids of full sequences are negative.
     """
-    kept = pieces.drop("sequence_id", "offset")
+    kept = no_reserved(pieces).drop("sequence_id", "offset")
     bad = f"{length} is null or {length} < 1 or {length} > {capacity}"
-    salted = kept.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")).withColumn(
-        "__n", F.expr(f"if({bad}, raise_error('length outside 1..{capacity}'), cast({length} as int))")
-    )
-    groups = salted.groupBy("__n", "__salt").count().toPandas()  # capacity * SALTS rows at most
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    table[groups["__n"].to_numpy(np.int64), groups["__salt"].to_numpy(np.int64)] = groups["count"].to_numpy(np.int64)
-    base = np.cumsum(table, axis=1) - table
-    keys, first, offsets = placement(solve(table.sum(axis=1), capacity))
+    sized = kept.withColumn("__n", F.expr(f"if({bad}, raise_error('length outside 1..{capacity}'), cast({length} as int))"))
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in sized.groupBy("__n").count().collect():
+        counts[r["__n"]] = r["count"]
+    partial = counts.copy()
+    partial[capacity] = 0
+    salts = np.maximum(-(-partial // SALTED), 1)
+    begin = np.cumsum(salts) - salts  # the place of a length's first salt among all
+    own = F.element_at(F.array(*map(F.lit, salts.tolist())), F.col("__n") + 1)
+    salted = sized.where(f"__n < {capacity}").withColumn("__salt", F.pmod(F.xxhash64(*order), own).cast("int"))
+    groups = salted.groupBy("__n", "__salt").count().toPandas()
+    table = np.zeros(int(salts.sum()), np.int64)
+    table[begin[groups["__n"].to_numpy(np.int64)] + groups["__salt"].to_numpy(np.int64)] = groups["count"].to_numpy(np.int64)
+    base = np.cumsum(table) - table
+    base -= np.repeat(base[begin], salts)
+    keys, first, offsets = placement(solve(partial, capacity))
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("__n", "__salt").orderBy(*order)))
     names = kept.columns
 
     def run(batches):
         for batch in batches:
             n, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("__n", "__salt", "__rank"))
-            key = (n << 42) | (base[n, salt] + rank - 1)
+            key = (n << 42) | (base[begin[n] + salt] + rank - 1)
             slot = np.searchsorted(keys, key, side="right") - 1
             own = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(first[slot] + key - keys[slot]), pa.array(offsets[slot])], names=[*names, "sequence_id", "offset"])
 
-    schema = kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return ranked.mapInArrow(run, schema)
+    # a full piece is a sequence, in no order: no exchange for these
+    full = sized.where(f"__n = {capacity}").select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(run, full.schema).unionByName(full)
 
 
 #: Pieces so long that the merge loop of the faster library would be slow.
@@ -176,23 +204,24 @@ def _tokenizer(path: str) -> tuple:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+    added = {token.content for token in tokenizer.get_added_tokens_decoder().values()}
     # byte-level vocabularies write printable Latin-1 bytes as themselves and the rest, in order, from U+0100 on
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(map(letter.__getitem__, token)): n for token, n in tokenizer.get_vocab(with_added_tokens=False).items() if token not in tokenizer.get_added_tokens_decoder().values() and not token.startswith("<|")}
+    ranks = {bytes(map(letter.__getitem__, token)): n for token, n in tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
     fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary, lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    slow = re.compile("|".join([LONG_RUN.pattern, *map(re.escape, sorted(added))]))
+    return fast.encode_ordinary, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, slow
 
 
 def token_bytes(path: str, text: str | None) -> bytes:
-    """The ids of ``text`` as little-endian 32-bit numbers (null: none).
+    """The ids of ``text`` as little-endian 32-bit numbers (null: none): those of ``encode(text, add_special_tokens=False)`` of the tokenizers library.
 
     The vocabulary is that of the tokenizers file at ``path``. Its merges are run by tiktoken, which gives the same ids
-    (held against the tokenizers library in the tests) at a third of the time; texts with very long runs go to tokenizers itself.
+    (held against the tokenizers library in the tests) at a third of the time; texts with very long runs, or with the name of an added token, go to tokenizers itself.
     """
-    fast, own = _tokenizer(path)
-    ids = own(text) if LONG_RUN.search(text or "") else fast(text or "")
+    fast, own, slow = _tokenizer(path)
+    ids = own(text) if slow.search(text or "") else fast(text or "")
     return np.array(ids, "<u4").tobytes()
 
 

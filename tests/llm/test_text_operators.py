@@ -1,6 +1,7 @@
 """Operators that work text by text: BPE, Ogg, secrets, packing, quality, language."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -23,7 +24,6 @@ RANKS = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
 CODER = bpe.LinearBpe(RANKS, P.PATTERN)
 WANT = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-HF.encode_special_tokens = True
 texts = st.text(st.one_of(st.sampled_from(list("the ing ab'é ñ\n\t　  123!?")), st.characters(codec="utf-8")), max_size=60)
 
 
@@ -45,7 +45,7 @@ def test_packing_ids_equal_tokenizers(text):
     assert np.frombuffer(packing.token_bytes(P.path("byte_bpe_50k.json"), text), "<u4").tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["a" * 5000, " " * 3000, "ab" * 4000 + " x", "<|endoftext|> a"])
+@pytest.mark.parametrize("text", ["a" * 5000, " " * 3000, "ab" * 4000 + " x", "<|endoftext|> a", "x<|endoftext|><|endoftext|>", "<|endoftext| >"])
 def test_long_runs(text):
     assert CODER.encode(text) == WANT.encode_ordinary(text)
     assert np.frombuffer(packing.token_bytes(P.path("byte_bpe_50k.json"), text), "<u4").tolist() == HF.encode(text, add_special_tokens=False).ids
@@ -173,11 +173,75 @@ def test_plan_uses_every_piece_once(lengths):
     assert len(set(keys.tolist())) == len(keys)
 
 
+def brute_complement(left, gap):
+    """Whether one, two or three available lengths have that sum."""
+    have = [n for n in range(1, len(left)) for _ in range(min(3, int(left[n])))]
+    return any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(have, k))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=40), st.lists(st.integers(1, 24), max_size=12))
+def test_index_of_sums_finds_every_complement(lengths, gaps):
+    index = packing.Complements(np.bincount(lengths, minlength=25))
+    for gap in gaps:
+        found = index.exact(gap)
+        assert (found is not None) == brute_complement(index.left, gap)
+        if found:
+            assert sum(found) == gap and list(found) == sorted(found, reverse=True) and len(found) <= 3
+            assert all(index.left[n] >= found.count(n) for n in found)
+            assert index.take(found, 1) == 1
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+
+    def place(rest, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if not rest:
+            best = len(room)
+            return
+        for i in sorted({r: i for i, r in enumerate(room)}.values()):
+            if room[i] >= rest[0]:
+                place(rest[1:], [*room[:i], room[i] - rest[0], *room[i + 1 :]])
+        place(rest[1:], [*room, capacity - rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plan_against_the_fewest(lengths):
+    n = sum(times for times, _ in packing.solve(np.bincount(lengths, minlength=21), 20))
+    assert n <= fewest(lengths, 20) + 1
+
+
 def test_exact_complements_come_first():
     counts = np.bincount([30, 10, 25, 15, 20, 11, 9, 20], minlength=41)
     assert sum(times for times, _ in packing.solve(counts, 40)) == 4  # 30+10, 25+15, 20+20 and 11+9; or as good
 
 
+def test_packing_salts_and_full_pieces(spark, monkeypatch):
+    """A frequent length is ranked in many groups, and full pieces are not ranked at all."""
+    monkeypatch.setattr(packing, "SALTED", 20)
+    r = np.random.default_rng(0)
+    rows = [(i, int(n), "mine") for i, n in enumerate([*[64] * 300, *[30] * 200, *[34] * 150, *r.integers(1, 65, 300)])]
+    df = spark.createDataFrame(rows, "id long, length int, offset string").repartition(3)
+    got = packing.best_fit_pack(df, 64, ["id"])
+    assert got.columns == ["id", "length", "sequence_id", "offset"]
+    sequences = defaultdict(list)
+    for x in got.collect():
+        sequences[x.sequence_id].append((x.offset, x.length))
+    assert sum(map(len, sequences.values())) == len(rows)
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 64
+    assert len(sequences) <= 1.02 * -(-sum(n for _, n, _ in rows) // 64) + 1
+
+
 def test_packing_in_spark(docs, rows, none):
     got = packing.pack_documents(docs, P.path("byte_bpe_50k.json")).collect()
     want = Counter()
@@ -251,8 +315,6 @@ def test_mixed_language_spans(spark):
 
 
 def test_viterbi_against_brute_force():
-    import itertools
-
     r = np.random.default_rng(1)
     rows = r.normal(size=(30, 3)).astype(np.float32) * 3
     ids = [r.integers(0, 30, n) for n in (1, 2, 4, 6)]
