@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 BUCKETS, PENALTY, FLOOR, NONE = 1 << 15, 6.0, -8.0, "und"
+#: Languages at most: a model has 128 KB for each, in every worker. More raise an error.
+LANGUAGES = 1000
 WORD = re.compile(r"[^\W\d_]+")
 #: First code point of ranges, by script.
 SCRIPTS = [
@@ -103,7 +105,7 @@ class LanguageModel:
     def label(self, texts: list[list[str]], penalty: float = PENALTY) -> list[np.ndarray]:
         """The language index of every word of each text, by Viterbi; texts of like length are run together."""
         ids = self.matrix(texts)
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(ids[i])), key=lambda i: len(ids[i]))
         at = 0
         while at < len(order):
@@ -126,7 +128,7 @@ def viterbi(ids: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[np.
         grid[: len(x), j] = x
     firsts = np.searchsorted(sizes, np.arange(longest), side="right")  # sequences from here on have a word at this step
     value = np.zeros((n, rows.shape[1]), np.float32)
-    best = np.zeros((longest, n), np.int8)
+    best = np.zeros((longest, n), np.int16)
     jumped = np.zeros((longest, n, rows.shape[1]), bool)
     for t in range(longest):
         a = firsts[t]
@@ -138,7 +140,7 @@ def viterbi(ids: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[np.
             np.greater(change, v, out=jumped[t, a:])
             np.maximum(v, change, out=v)
         v += rows[grid[t, a:]]
-    out = np.zeros((longest, n), np.int8)
+    out = np.zeros((longest, n), np.int16)
     state = value.argmax(axis=1)
     lanes = np.arange(n)
     for t in range(longest - 1, -1, -1):
@@ -153,10 +155,14 @@ def viterbi(ids: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[np.
 def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Count over all rows that pass ``learn`` and have a language; None if there is none.
 
-    What comes to the driver is one number per language and bucket or script, whatever the corpus.
+    What comes to the driver is one number per language and bucket or script, whatever the corpus. Over ``LANGUAGES``
+    different values of ``lang`` raise an error: such a column holds something else.
     """
     rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} different languages in column {lang}")
+
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:

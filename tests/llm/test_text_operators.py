@@ -292,6 +292,90 @@ def test_risk_stays_non_negative_on_separable_data():
     assert (model.score(good[3000:]) > 0.5).mean() > 0.9 and (model.score(bad) > 0.5).mean() < 0.15
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_prior_is_estimated_without_negatives(prior):
+    r = np.random.default_rng(int(100 * prior))
+    draw = lambda n, good: r.normal(1.5 if good else -1.5, 1, (n, 3))
+    n = 4000
+    mixed = r.permutation(np.concatenate([draw(int(n * prior), True), draw(n - int(n * prior), False)]))
+    assert abs(quality.estimate_prior(draw(3000, True), mixed) - prior) < 0.06
+
+
+def test_repeated_ids_count_once(spark):
+    own, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    own = own.select("doc_id", "text")
+    first = labels.where("quality = 1").select("doc_id").first()[0]
+    again = own.where(F.col("doc_id") == first).crossJoin(spark.range(300)).drop("id")
+    many = own.unionByName(again).unionByName(own.where(F.col("doc_id") == first).withColumn("text", F.lit("~"))).repartition(5)
+    model = quality.fit_quality(own, labels, F.lit(True))
+    same_ = quality.fit_quality(many, labels.unionByName(labels), F.lit(True))
+    assert np.allclose(model.weights, same_.weights) and model.prior == same_.prior
+
+
+def plain_score(model, text):
+    """The score of one text by the words of the model's description."""
+    z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(quality.features(text), model.mean, model.scale)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*z, 1.0], model.weights))))
+
+
+def test_scores_against_a_plain_version(spark, docs, rows):
+    own, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit_quality(own, labels, fold("doc_id", 3) != 1)
+    got = quality.score_quality(docs.select("doc_id", "text"), model).collect()
+    want = Counter((k, round(plain_score(model, t), 6)) for k, t in rows)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
+def plain_language(model, text):
+    """Language and score of one text, word by word: script, trigram scores, and the best path by plain dynamic programming."""
+    words = langid.words_of(text)
+    if not words:
+        return "und", 0.0
+    best, paths = [0.0] * len(model.names), [[] for _ in model.names]
+    for t, word in enumerate(words):
+        marked = f"^{word}$"
+        own = [sum(float(model.logp[langid.trigram_buckets([word])[1][i], j]) for i in range(len(marked) - 2)) for j in range(len(model.names))]
+        own = [v if model.allowed[langid.script_of(word), j] else -1e9 for j, v in enumerate(own)]
+        total = max(own) + math.log(sum(math.exp(v - max(own)) for v in own))
+        own = [max(langid.FLOOR, v - total) for v in own]
+        top = max(range(len(best)), key=lambda k: best[k])
+        came = [top if t and best[top] - langid.PENALTY > best[j] else j for j in range(len(best))]
+        best, paths = [(best[k] - langid.PENALTY * (k != j)) + own[j] for j, k in enumerate(came)], [[*paths[k], j] for j, k in enumerate(came)]
+    path = paths[max(range(len(best)), key=lambda k: best[k])]
+    letters = Counter()
+    for word, k in zip(words, path, strict=True):
+        letters[k] += len(word)
+    return model.names[letters.most_common(1)[0][0]], max(letters.values()) / sum(letters.values())
+
+
+def test_language_against_a_plain_version(spark, docs, rows):
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(own, F.lit(True))
+    texts_ = sorted({t for _, t in rows if len(t) < 3000})
+    got = list(zip(*langid.predict(model, texts_), strict=True))
+    want = [plain_language(model, t) for t in texts_]
+    assert sum(g[0] == w[0] for g, w in zip(got, want)) >= len(want) - 1
+    assert sum(abs(g[1] - w[1]) < 1e-6 for g, w in zip(got, want)) >= 0.99 * len(want)
+
+
+def test_many_languages():
+    """More labels than a byte has room for, and a bound that is checked."""
+    r = np.random.default_rng(1)
+    rows_ = r.normal(size=(50, 300)).astype(np.float32)
+    rows_[:, 290] += 20
+    path = langid.viterbi([np.arange(50)], rows_, 2.0)[0]
+    assert (path == 290).all()
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(200)], "doc_id long, text string, lang string")
+    assert len(langid.fit_languages(df, F.lit(True)).names) == 200
+    assert set(langid.language_predictions(df, F.lit(False)).toPandas().lang_pred) <= {f"l{i}" for i in range(200)}
+    monkeypatch.setattr(langid, "LANGUAGES", 100)
+    with pytest.raises(ValueError, match="over 100 different languages"):
+        langid.fit_languages(df, F.lit(True))
+
+
 def test_language(spark, docs, none):
     own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_predictions(own, fold("doc_id", 4) == 2).join(own.select("doc_id", "lang"), "doc_id").toPandas()
