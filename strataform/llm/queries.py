@@ -107,16 +107,16 @@ def _secrets_sql() -> str:
         _places("hex", HEX, "true"),
         _places("entropy", CANDIDATE, f"NOT regexp_full_match(val, '{ALLOWED.replace('^', '').replace('$', '')}')"),
     ]
-    (hex_rx, _, hex_bits), (_, _, bits) = CLASSES.values()
+    least = " ".join(f"WHEN regexp_full_match(val, '{rx[1:-1]}') THEN {bits}" for rx, bits in CLASSES.values())
     return f"""
 WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), {", ".join(found)},
 peak AS (SELECT doc_id, s, max(list_aggregate(string_split(substr(val, CAST(i + 1 AS BIGINT), {WINDOW}), ''), 'entropy')) AS bits
   FROM (SELECT doc_id, s, val, unnest(range(greatest(length(val) - {WINDOW - 1}, 1))) AS i FROM entropy) GROUP BY 1, 2),
-odd AS (SELECT entropy.* FROM entropy JOIN peak USING (doc_id, s) WHERE bits >= CASE WHEN regexp_full_match(val, '{hex_rx[1:-1]}') THEN {hex_bits} ELSE {bits} END),
+odd AS (SELECT entropy.* FROM entropy JOIN peak USING (doc_id, s) WHERE bits >= CASE {least} END),
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
 every AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][o + 1] || ':' || s || ':' || e AS line FROM (SELECT * FROM base UNION ALL SELECT * FROM odd)),
 said AS (SELECT doc_id, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS b, count(*) FILTER (o = 2) AS c, count(*) FILTER (o = 3) AS x, string_agg(line, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(line, ',' ORDER BY s, o) AS spans FROM every GROUP BY 1)
-SELECT d.doc_id, COALESCE(a, 0) AS n_assign, COALESCE(b, 0) AS n_access, COALESCE(c, 0) AS n_hex, COALESCE(x, 0) AS n_entropy, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN said USING (doc_id)"""
+SELECT d.doc_id, COALESCE(a, 0) AS n_assign, COALESCE(b, 0) AS n_access, COALESCE(c, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(x, 0) AS n_entropy FROM d LEFT JOIN said USING (doc_id)"""
 
 
 #: SQL where it can say the query: fingerprints, fitted models, tokenizers, containers, suffix arrays and packing it can't.

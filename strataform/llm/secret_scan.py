@@ -3,17 +3,21 @@
 Pattern matches are cut out by ``split`` and ``regexp_extract_all`` with one pattern; their places follow from the
 lengths of the pieces between them (two-level prefix sums, so that many matches in one text stay near linear).
 
-Entropy: candidates are runs of token characters. For each character class (hex digits; all token characters) a window
-slides over the candidate; an array holds the count of each character, one count goes up and one down per step, and
-the sum of c * log2(c) follows. A candidate is reported for the first class that covers it if some window reaches the
+Entropy: candidates are runs of token characters. The first character class (hex digits; capitals or small letters with digits; all token
+characters) that covers a candidate sets the threshold. A window slides over the candidate: at each step the character that leaves and the one that comes are counted
+among those that stay, one count goes down and one up, and the sum of c * log2(c) follows, whatever the size of the class. A candidate is reported if some window reaches the
 class's threshold, unless the allow-list suppresses it. Pattern spans are never suppressed.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import no_reserved
+
 #: Patterns by kind with the least size of what counts (of group 2 for assign, of the match otherwise).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -23,11 +27,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates for entropy, and what is never reported: plain words, words joined by _ or -, paths, dates, one repeated character.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOWED = r"(?s)^(?:[A-Za-z]+|[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)+|[0-9]+(?:[-_/][0-9]+)*|.*EXAMPLE.*)$"
-#: Class -> (pattern of the whole candidate, its alphabet, threshold in bits for one window). No window has exactly a threshold's entropy.
-CLASSES = {
-    "hex": (r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.05),
-    "token": (r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
-}
+#: Class -> (pattern of the whole candidate, threshold in bits for one window). No window has exactly a threshold's entropy.
+CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.05), "upper": ("^[A-Z0-9]+$", 3.45), "lower": ("^[a-z0-9]+$", 3.45), "token": ("^[A-Za-z0-9+/_=-]+$", 3.75)}
 WINDOW, BLOCK = 20, 256
 
 
@@ -66,30 +67,22 @@ def _places(df: DataFrame, text: str, kind: str, pattern: str, keep=None) -> Dat
     return df.withColumn(kind, found.cast(span)).drop(m, g, v, s)
 
 
-def _peak(value: Column, alphabet: str) -> Column:
-    """The largest c * log2(c) deficit, as entropy in bits, of any window of ``value``; shorter values count as one window."""
+def _peak(value: Column) -> Column:
+    """The largest entropy, in bits, of any window of ``value``; shorter values count as one window."""
     n = F.least(F.length(value), F.lit(WINDOW)).cast("double")
     chars = F.split(value, "")
-    spots = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    table = F.array(*(F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 1)))  # c * log2(c)
+    term = lambda c: F.element_at(table, c + 1)
 
     def step(acc: Column, i: Column) -> Column:
-        come = F.element_at(spots, i + 1)
-        go = F.when(i >= WINDOW, F.element_at(spots, i - WINDOW + 1)).otherwise(F.lit(-1))
-        up, down = F.element_at(acc["counts"], come + 1), F.when(go >= 0, F.element_at(acc["counts"], go + 1)).otherwise(F.lit(0.0))
-        same = come == go
-        total = F.when(same, acc["total"]).otherwise(
-            acc["total"] + term(up + 1) - term(up) + F.when(go >= 0, term(down - 1) - term(down)).otherwise(F.lit(0.0))
-        )
-        counts = F.when(same, acc["counts"]).otherwise(
-            F.transform(acc["counts"], lambda c, k: c + F.when(k == come, F.lit(1.0)).when(k == go, F.lit(-1.0)).otherwise(F.lit(0.0)))
-        )
-        full = i + 1 >= n
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(full, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0.0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least")
-    )
+        stay = F.slice(chars, F.greatest(i - (WINDOW - 2), F.lit(1)), F.least(i, F.lit(WINDOW - 1)))
+        among = lambda c: F.size(stay) - F.size(F.array_remove(stay, c))
+        up, down = among(F.element_at(chars, i + 1)), among(F.element_at(chars, F.greatest(i - (WINDOW - 1), F.lit(1))))
+        gone = F.when(i >= WINDOW, term(down) - term(down + 1)).otherwise(F.lit(0.0))
+        total = acc["total"] + gone + term(up + 1) - term(up)
+        return F.struct(total.alias("total"), F.when(i + 1 >= n, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
     least = F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda acc: acc["least"])
     return F.log2(n) - least / n
 
@@ -98,9 +91,9 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     """Add ``out``: array of (start, end, kind, value) of all spans in ``text``, by start, then kind as in ``KINDS``.
 
     Places count code points, ends exclusive. Null texts count as empty. Other columns stay (names that begin with
-    ``__`` are kept for the scan's own use), an existing ``out`` is replaced; rows are independent of each other.
+    ``__`` raise an error), an existing ``out`` is replaced; rows are independent of each other.
     """
-    names = [c for c in df.columns if c != out]
+    names = no_reserved(df.drop(out)).columns
     kinds = {k: f"__{k}" for k in KINDS}
     work = df.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     work = _places(work, "__text", kinds["assign"], ASSIGN, "group")
@@ -109,10 +102,10 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     work = _places(work, "__text", kinds["entropy"], CANDIDATE)
 
     def odd(x: Column) -> Column:
-        found = F.lit(False)
-        for pattern, alphabet, least in reversed(CLASSES.values()):
-            found = F.when(x["value"].rlike(pattern), _peak(x["value"], alphabet) >= least).otherwise(found)
-        return ~x["value"].rlike(ALLOWED) & found
+        least = F.lit(1e9)
+        for pattern, bits in reversed(CLASSES.values()):
+            least = F.when(x["value"].rlike(pattern), F.lit(bits)).otherwise(least)
+        return ~x["value"].rlike(ALLOWED) & (_peak(x["value"]) >= least)
 
     work = work.withColumn(kinds["entropy"], F.filter(kinds["entropy"], odd))
     def tagged(order: int, kind: str) -> Column:
@@ -144,14 +137,15 @@ def redact(text: str | Column, spans: str | Column) -> Column:
 
 
 def secret_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, the number of spans of each pattern kind, base_sha256 and spans."""
+    """Per row: ``key``, the number of spans of each pattern kind, base_sha256 and spans, and the number of those by entropy."""
     scanned = scan_secrets(df.select(F.col(key).cast("long").alias(key), text), text, "__spans")
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("__spans", lambda x: x["kind"] != "entropy")
     counted = lambda kind: F.size(F.filter("__spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select(
         key,
-        *map(counted, KINDS),
+        *map(counted, KINDS[:3]),
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("__spans", line), ",").alias("spans"),
+        counted("entropy"),
     )

@@ -128,13 +128,26 @@ def brute_secrets(t):
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
-        windows = [Counter(m[0][i : i + 20]) for i in range(len(m[0]) - 19)]
-        bits = max(-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows)
-        if not re.search(secret_scan.ALLOWED, m[0]) and bits >= (3.05 if re.fullmatch("[0-9a-fA-F]+", m[0]) else 3.75):
+        value = m[0]
+        words = re.fullmatch("[A-Za-z/_=+-]+", value) and re.match("[A-Za-z]|[/_=+-]", value)
+        numbers = re.fullmatch("[0-9]+([-_/][0-9]+)*", value)
+        bits = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(value[i : i + 20]).values()) for i in range(len(value) - 19))
+        least = next(bits for rx, bits in (("[0-9a-fA-F]+", 3.05), ("[A-Z0-9]+", 3.45), ("[a-z0-9]+", 3.45), (".*", 3.75)) if re.fullmatch(rx, value))
+        if not words and not numbers and "EXAMPLE" not in value and bits >= least:
             found.append((m.start(), 3, m.end(), "entropy"))
     return sorted(found)
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["0123456789abcdef", "ABCDEF0123", "abcxyz789", "ABCXYZ789", "aB3/_=-+", "ab", "a_b-", "12-/"]), st.integers(15, 70), st.integers(0, 10**6)), min_size=30, max_size=30))
+def test_secrets_of_every_class(spark, made):
+    """Candidates around all thresholds and lengths."""
+    texts_ = ["".join(np.random.default_rng(seed).choice(list(letters), n)) for letters, n, seed in made]
+    df = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, secret_scan.KINDS.index(s.kind), s.end, s.kind) for s in r.secrets] for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {i: brute_secrets(f"a {t} b") for i, t in enumerate(texts_)}
+
+
 def test_secrets(docs, rows, none):
     got = defaultdict(list)
     for r in secret_scan.secret_digests(docs).collect():
