@@ -80,15 +80,21 @@ def two_hops(edges: DataFrame) -> DataFrame:
 def most_similar(catalogue: DataFrame, cells: DataFrame, k: int = 10, least: float = 0.0, by: Sequence[str] = ("label",)) -> DataFrame:
     """The ``k`` catalogue values of each label that are most similar to some cell: label, pos, value, similarity, rank.
 
-    ``catalogue`` has label, pos, value; ``cells`` a column value. Ties keep the catalogue's order. Cells are made distinct, and
-    pairs whose lengths alone rule out ``least`` are never compared. This is a join on a condition, so one side is replicated: catalogues
-    are lists of examples, small next to the cells.
+    ``catalogue`` has label, pos, value; ``cells`` a column value. Ties keep the catalogue's order. Cells and values are made distinct before they
+    are compared, and pairs whose lengths alone rule out ``least`` never are: they meet by length, a join by key. Its work grows with distinct
+    values times distinct cells of like length.
     """
     distinct = cells.select(F.col("value").alias("__cell")).where(F.trim("value") != "").distinct()
     similarity = levenshtein_similarity(F.col("value"), F.col("__cell"))
-    near = F.abs(F.length("value") - F.length("__cell")) <= (1 - least) * F.greatest(F.length("value"), F.length("__cell"))
-    pairs = distinct.join(catalogue, near).withColumn("similarity", similarity)
-    best = pairs.groupBy(*by, "pos", "value").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
+    lengths = distinct.groupBy(F.length("__cell").alias("__n")).agg(F.lit(1).alias("__one"))
+    values = catalogue.select("value").where("value is not null").distinct()
+    # the lengths that occur, for each length of a value: one row for each pair of lengths
+    own = values.groupBy(F.length("value").alias("__l")).agg(F.lit(1).alias("__two"))
+    meet = own.join(lengths, F.abs(F.col("__l") - F.col("__n")) <= (1 - least) * F.greatest("__l", "__n")).select("__l", F.col("__n").alias("__to"))
+    asked = values.join(meet, F.length("value") == F.col("__l")).drop("__l")
+    pairs = asked.join(distinct, F.col("__to") == F.length("__cell")).withColumn("similarity", similarity)
+    top = pairs.groupBy("value").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
+    best = catalogue.select(*by, "pos", "value").distinct().join(top, "value").select(*by, "pos", "value", "similarity")
     order = Window.partitionBy(*by).orderBy(F.desc("similarity"), "pos")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -20,6 +20,8 @@ from ..functions.text import extract_answer, levenshtein_similarity
 from ..functions.values import parse_decimal
 from .ranking import top_types
 
+#: Labelled columns, or labels with embeddings, at most: each is compared with every column. More raise an error.
+LABELLED = 100_000
 FEATURES = ["name_similarity", "value_overlap", "token_overlap", "numeric_gap", "share_gap"]
 SCORE_OF_ANSWER = 0.9
 
@@ -42,16 +44,23 @@ def overlaps(a: DataFrame, b: DataFrame, a_by: list[str], b_by: list[str], item:
     return both.select(*a_by, *b_by, (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias(name))
 
 
+def few(df: DataFrame, what: str) -> DataFrame:
+    """``df`` to be broadcast, if it has ``LABELLED`` rows at most; else an error."""
+    if df.limit(LABELLED + 1).count() > LABELLED:
+        raise ValueError(f"over {LABELLED} {what}")
+    return F.broadcast(df)
+
+
 def features(cells: DataFrame, training: DataFrame) -> DataFrame:
     """(table_id, col_index, class, prop) with FEATURES for every column and every label in training: the best over its columns.
 
-    ``cells`` has table_id, col_index, column, value; ``training`` class, prop, tcol (id of the labelled column), column, value. Labels
-    are few, so the pairs of columns and labelled columns are a join with a small side.
+    ``cells`` has table_id, col_index, column, value; ``training`` class, prop, tcol (id of the labelled column), column, value. Every column
+    is scored for every labelled column, of which there are ``LABELLED`` at most; that is checked before they are broadcast.
     """
     mine, theirs = ["table_id", "col_index"], ["class", "prop", "tcol"]
     a, b = profiles(cells, mine), profiles(training, theirs)
     pairs = a.select(*mine, F.lower("column").alias("an"), "numbers", "level", "spread").crossJoin(
-        F.broadcast(b.select(*theirs, F.lower("column").alias("bn"), F.col("numbers").alias("bnum"), F.col("level").alias("bl"), F.col("spread").alias("bs")))
+        few(b.select(*theirs, F.lower("column").alias("bn"), F.col("numbers").alias("bnum"), F.col("level").alias("bl"), F.col("spread").alias("bs")), "labelled columns")
     )
     value = F.lower(F.trim("value"))
     values = overlaps(cells, training, mine, theirs, value, "value_overlap")
@@ -90,9 +99,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embedding_types(columns: DataFrame, labels: DataFrame, n: int = 2) -> DataFrame:
-    """Types by the cosine of column and label embeddings; ``labels`` has class, prop, embedding (a short list: broadcast only up to 10 MB)."""
+    """Types by the cosine of column and label embeddings; ``labels`` has class, prop, embedding, and ``LABELLED`` rows at most."""
     right = labels.select("class", "prop", F.col("embedding").alias("__e"))
-    scored = columns.crossJoin(right).withColumn("score", cosine(F.col("embedding"), F.col("__e"))).where("score is not null")
+    scored = columns.crossJoin(few(right, "labels")).withColumn("score", cosine(F.col("embedding"), F.col("__e"))).where("score is not null")
     return top_types(scored.select("table_id", "col_index", "class", "prop", "score"), n)
 
 

@@ -58,12 +58,12 @@ def export_table(df: DataFrame, model: Model, outdir: str, created_by: str, row:
 
 
 def map_files(spark: SparkSession, pattern: str, outdir: str, created_by: str, links: DataFrame | None = None, merge: bool = False) -> list[str]:
-    """Records of each Turtle file that ``pattern`` matches, in a folder of its own name; the folders, in order."""
-    triples = read_turtle(spark, pattern)
+    """Records of each Turtle file that ``pattern`` matches, in a folder of its own name; the folders, in order. Each file is read once, by jobs of its own."""
+    files = spark.read.format("binaryFile").load(pattern).select("path")  # names only: contents aren't read
     out = []
-    for (name,) in sorted(map(tuple, triples.select("source_file").distinct().collect())):  # one name per file
+    for (name,) in sorted(map(tuple, files.collect())):
         folder = f"{outdir}/{name.rsplit('/', 1)[-1].rsplit('.', 1)[0]}"
-        write_records(to_records(triples.where(F.col("source_file") == name).drop("source_file"), created_by, links, merge), folder)
+        write_records(to_records(read_turtle(spark, name).drop("source_file"), created_by, links, merge), folder)
         out.append(folder)
     return out
 

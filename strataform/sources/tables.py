@@ -41,9 +41,8 @@ def read_raw_cells(spark: SparkSession, path: str | Sequence[str], **options: st
 
 def pick_table(cells: DataFrame, index: int) -> DataFrame:
     """The cells of the table with ordinal ``index`` by table_id."""
-    ordinal = F.dense_rank().over(Window.orderBy("table_id")) - 1
-    ids = cells.select("table_id").distinct().withColumn("__i", ordinal).where(F.col("__i") == index).select("table_id")
-    return cells.join(F.broadcast(ids.limit(1)), "table_id", "left_semi")
+    ids = cells.select("table_id").distinct().orderBy("table_id").offset(index).limit(1)
+    return cells.join(F.broadcast(ids), "table_id", "left_semi")  # one row
 
 
 def read_column_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
