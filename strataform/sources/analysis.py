@@ -28,3 +28,20 @@ def read_analysis(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def analysed_tables(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(columns, body) of the tables: spans filled, header rows merged, the first row's texts as names."""
     return promote_headers(merge_headers(fill_spans(spans)), 1)
+
+
+def analysis_json(spans: DataFrame) -> DataFrame:
+    """stem and value: each document's results as one JSON text, from rows (stem, table, pos, row, col, row_span, col_span, kind, content)."""
+    cell = F.struct(
+        F.col("kind"), F.col("row").alias("row_index"), F.col("col").alias("column_index"), F.col("row_span"), F.col("col_span").alias("column_span"), F.col("content")
+    )
+    tables = spans.groupBy("stem", "table").agg(
+        (F.max("row") + 1).alias("row_count"), (F.max("col") + 1).alias("column_count"), F.array_sort(F.collect_list(F.struct("pos", cell.alias("cell")))).alias("c")
+    )
+    each = tables.select("stem", F.struct("table", F.struct("row_count", "column_count", F.transform("c", lambda x: x["cell"]).alias("cells")).alias("t")).alias("t"))
+    return each.groupBy("stem").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["t"]).alias("tables"))).alias("value"))
+
+
+def write_analysis(spans: DataFrame, path: str) -> None:
+    """Raw results as ``read_analysis`` takes them: a folder for each document, its JSON in one file."""
+    analysis_json(spans).write.mode("overwrite").partitionBy("stem").text(path)
