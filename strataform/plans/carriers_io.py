@@ -23,7 +23,7 @@ from ..sources import training as E
 from ..sources.models import read_description
 from ..sources.turtle import read_turtle, write_turtle
 from .carriers import _DESCRIPTION, _GEMO, _LABELS, _MOS, _TRIPLES, _TYPE, QUERIES, SQL, _triples, col, lit, money, query, t
-from .lifecycle import build_stores, export_table, map_files
+from .lifecycle import build_stores, collect_model, export_table, infer_models, map_files
 
 
 def folder(spark, name: str) -> str:
@@ -247,6 +247,21 @@ def s13_column_corpus(spark, sf):
     return E.read_column_corpus(spark, f"{path}/*/*.txt").drop("stem")
 
 
+@query("""
+WITH r AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation WHERE n_regionkey > 0)
+SELECT 'model ' || n_regionkey AS description, CAST(r AS INTEGER) AS "row", unnest(['key', 'full, name']) AS "column", unnest([CAST(n_nationkey AS VARCHAR), n_name]) AS value FROM r""")
+def s13_labelled_dataset(spark, sf):
+    path, n = folder(spark, "dataset"), t(spark, sf, "nation")
+    line = F.concat(col("n_nationkey").cast("string"), lit(","), "n_name")
+    lists = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("v"))
+    tables = lists.select(F.concat(lit("t"), "n_regionkey").alias("stem"), F.concat(lit('key,"full, name"\n'), F.array_join(F.transform("v", lambda x: x["line"]), "\n")).alias("value"))
+    tables.write.partitionBy("stem").text(f"{path}/tables")
+    said = lists.where("n_regionkey > 0").select(F.concat(lit("t"), "n_regionkey").alias("stem"), F.concat(lit("model "), "n_regionkey").alias("value"))
+    said.write.partitionBy("stem").text(f"{path}/descriptions")
+    pairs = E.read_dataset(spark, path)
+    return E.table_cells(pairs).join(pairs.select("stem", F.trim(F.replace("description", lit("\n"), lit(""))).alias("description")), "stem").select("description", "row", "column", "value")
+
+
 @query("SELECT 'C' || n_regionkey AS class, 'p' AS prop, 't' AS \"table\", 'name' AS \"column\", n_name AS value FROM nation")
 def k6_training_files(spark, sf):
     path = folder(spark, "training")
@@ -390,6 +405,25 @@ def m15_mapped_files(spark, sf):
     return names[0].unionByName(names[1]).unionByName(names[2])
 
 
+@query("SELECT c_name AS name, CASE WHEN c_nationkey % 4 > 0 THEN 'c' || c_nationkey END AS country, 'http://doc' AS source_id, 's/carrier' AS created_by FROM customer")
+def main_path(spark, sf):
+    """From a file to records: read, normalise, number, infer the model from types of columns, export."""
+    path = folder(spark, "main")
+    c = t(spark, sf, "customer")
+    own = c.select(col("c_name").alias("Name "), F.when(col("c_nationkey") % 4 > 0, F.concat(lit("c"), "c_nationkey")).alias("Country"), lit("http://doc").alias("Source"), col("c_custkey").alias("Key"))
+    T.write_csv(own, f"{path}/in")
+    table = P.normalise(T.read_csv(spark, f"{path}/in/*.csv"))
+    rows = T.with_row_index(table.withColumn("__k", col("Key").cast("long")), ["__k"]).drop("__k")
+    site = _MOS + "MineralSite"
+    types = spark.createDataFrame([("t", i, site, _MOS + p, 0.9 - 0.1 * i) for i, p in enumerate(("name", "country", "source_id"))] + [("t", 0, site, _MOS + "site_type", 0.2)], "table_id string, col_index int, class string, prop string, score double")
+    none = spark.createDataFrame([], "source_type string, prop string, target_type string, score double")
+    names = spark.createDataFrame([("t", i, n) for i, n in enumerate(table.columns)], "table_id string, col_index int, name string")
+    model = collect_model(*infer_models(types, none, columns=names), "t")
+    records = export_table(rows, model, f"{path}/out", "s/carrier")
+    back = spark.read.schema(records.schema).json(f"{path}/out/data.json")
+    return back.select("name", F.try_element_at("location_info.country", lit(1))["observed_name"].alias("country"), "source_id", "created_by")
+
+
 # ---- rules one by one -----------------------------------------------------------------------------------------------
 
 _POINT = "CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN 'POINT(190 10)' WHEN 1 THEN 'POINT (-20.5 -91)' WHEN 2 THEN 'POINT(a b)' WHEN 3 THEN 'POINT(180 -90)' ELSE 'LINESTRING(0 0, 500 0)' END"

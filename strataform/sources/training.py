@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +78,51 @@ def read_column_corpus(spark: SparkSession, path: str | Sequence[str]) -> DataFr
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
     rows = files.select(stem.alias("stem"), lines.alias("__lines"))
     return rows.select("stem", F.col("__lines")[0].alias("column"), F.posexplode(F.slice("__lines", 2, F.greatest(F.size("__lines"), F.lit(1)))).alias("pos", "value"))
+
+
+def dataset_files(spark: SparkSession, path: str) -> DataFrame:
+    """name and text of the files two and three levels down a folder, or of the members of a zip file."""
+    if not path.lower().endswith(".zip"):
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"((?:tables|descriptions)/.*)$", 1).alias("name"), F.col("value").alias("text")).where("name <> ''")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if not name.endswith("/"):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([archive.read(name).decode("utf-8")])], names=["name", "text"])
+
+    every = spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "name string, text string")
+    return every.select(F.regexp_extract("name", r"((?:tables|descriptions)/.*)$", 1).alias("name"), "text").where("name <> ''")
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """stem, table and description: the texts of each labelled table of a folder or zip, paired by name.
+
+    Tables lie in ``tables``; the description in ``descriptions`` is a file of the table's name, or the last file by name in a folder of its name. Tables
+    without a description, and the reverse, are left out.
+    """
+    files = dataset_files(spark, path)
+    parts = F.split("name", "/")
+    stem = F.regexp_extract(parts[1], r"^(.*?)(\.[A-Za-z]+)*$", 1)
+    own = files.select(parts[0].alias("kind"), stem.alias("stem"), "name", "text")
+    tables = own.where("kind = 'tables'").select("stem", F.col("text").alias("table"))
+    said = own.where("kind = 'descriptions'").groupBy("stem").agg(F.max_by("text", "name").alias("description"))
+    return tables.join(said, "stem")
+
+
+def table_cells(dataset: DataFrame) -> DataFrame:
+    """stem, row, col, column, value of the tables of ``read_dataset``: delimited text whose first row has the names. Short rows are filled up with ``""``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stem, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names, *rows = csv.reader(io.StringIO(text, newline="")) if text else [[]]
+                cells = [(stem, i, j, name, row[j] if j < len(row) else "") for i, row in enumerate(rows) for j, name in enumerate(names)]
+                columns = list(zip(*cells, strict=True)) if cells else [[]] * 5
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stem", "row", "col", "column", "value"])
+
+    return dataset.select("stem", "table").mapInArrow(run, "stem string, row int, col int, column string, value string")

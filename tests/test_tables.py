@@ -124,3 +124,22 @@ def test_records_round_trip(spark, tmp_path):
     assert sorted((r.a, r.b) for r in spark.read.json(f"{tmp_path}/r").collect()) == [(1, "x"), (2, None)]
     S.write_csv(df, f"{tmp_path}/c", ["a"])
     assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 2
+
+
+def test_labelled_dataset_of_a_zip(spark, tmp_path):
+    import zipfile
+
+    from strataform.sources.training import read_dataset, table_cells
+
+    with zipfile.ZipFile(tmp_path / "set.zip", "w") as z:
+        z.writestr("set/tables/one.csv", 'a,"b, c"\n1,"x\ny"\n2\n')
+        z.writestr("set/tables/two.csv", "a\n")
+        z.writestr("set/tables/alone.csv", "a\n1\n")
+        z.writestr("set/descriptions/one/version.01.json", "old")
+        z.writestr("set/descriptions/one/version.02.json", "new")
+        z.writestr("set/descriptions/two.json", "two")
+        z.writestr("set/descriptions/none.json", "none")
+    pairs = read_dataset(spark, str(tmp_path / "set.zip"))
+    assert {r.stem: r.description for r in pairs.collect()} == {"one": "new", "two": "two"}
+    cells = sorted(tuple(r) for r in table_cells(pairs).collect())
+    assert cells == [("one", 0, 0, "a", "1"), ("one", 0, 1, "b, c", "x\ny"), ("one", 1, 0, "a", "2"), ("one", 1, 1, "b, c", "")]
