@@ -85,6 +85,8 @@ class Stream:
     granules: list[int] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
+    #: Places where pages are missing; packets that ran through them are lost.
+    gaps: int = 0
     _open: bytes | None = None
 
 
@@ -92,42 +94,64 @@ class OggError(ValueError):
     """The bytes are no sound Ogg stream."""
 
 
-def pages_of(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
-    """(flags, granule, serial, number, lacing, body) of each page; raises OggError at the first unsound one."""
+def _page_at(data: bytes, at: int) -> tuple[tuple[int, int, int, int, bytes, bytes], int]:
+    """The page at byte ``at``, and where it ends."""
+    if len(data) < at + 27 or data[at : at + 4] != CAPTURE:
+        raise OggError(f"no page at byte {at}")
+    _, version, flags, granule, serial, number, crc, n = HEAD.unpack_from(data, at)
+    lacing = data[at + 27 : at + 27 + n]
+    end = at + 27 + n + sum(lacing)
+    if version or len(lacing) < n or end > len(data):
+        raise OggError(f"page at byte {at} is cut short or of another version")
+    if page_crc(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != crc:
+        raise OggError(f"checksum of the page at byte {at}")
+    return (flags, granule, serial, number, lacing, data[at + 27 + n : end]), end
+
+
+def pages_of(data: bytes, resync: bool = False) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+    """(flags, granule, serial, number, lacing, body) of each page; raises OggError at the first unsound one, or with ``resync`` goes on at the next capture pattern that begins a sound one."""
     at = 0
     while at < len(data):
-        if len(data) < at + 27 or data[at : at + 4] != CAPTURE:
-            raise OggError(f"no page at byte {at}")
-        _, version, flags, granule, serial, number, crc, n = HEAD.unpack_from(data, at)
-        lacing = data[at + 27 : at + 27 + n]
-        end = at + 27 + n + sum(lacing)
-        if version or len(lacing) < n or end > len(data):
-            raise OggError(f"page at byte {at} is cut short or of another version")
-        if page_crc(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != crc:
-            raise OggError(f"checksum of the page at byte {at}")
-        yield flags, granule, serial, number, lacing, data[at + 27 + n : end]
-        at = end
-
-
-def demux(data: bytes) -> dict[int, Stream]:
-    """The logical streams by serial number, in order of appearance."""
+        try:
+            page, at = _page_at(data, at)
+        except OggError:
+            if not resync:
+                raise
+            at = data.find(CAPTURE, at + 1)
+            if at < 0:
+                return
+            continue
+        yield page
+
+
+def demux(data: bytes, resync: bool = False) -> dict[int, Stream]:
+    """The logical streams by serial number, in order of appearance.
+
+    With ``resync`` unsound pages are left out: packets that lie on sound pages whole are kept, others are lost, and each stream counts its gaps.
+    """
     out: dict[int, Stream] = {}
-    for flags, granule, serial, number, lacing, body in pages_of(data):
+    for flags, granule, serial, number, lacing, body in pages_of(data, resync):
         s = out.setdefault(serial, Stream())
-        if number != s.pages or bool(flags & FIRST) != (number == 0) or s.ended:
+        ordered = number == s.pages and bool(flags & FIRST) == (number == 0) and not s.ended
+        joined = bool(flags & CONTINUED) == (s._open is not None)
+        if not resync and not ordered:
             raise OggError(f"stream {serial}: page {number} out of order")
-        if bool(flags & CONTINUED) != (s._open is not None):
+        if not resync and not joined:
             raise OggError(f"stream {serial}: page {number} doesn't continue the packet before")
-        s.pages += 1
+        if not ordered or not joined:
+            s.gaps, s._open = s.gaps + 1, None
+        tail = bool(flags & CONTINUED) and s._open is None  # the page begins with the end of a lost packet
+        s.pages = number + 1
         at, have, own = 0, s._open, len(s.packets)
         values = np.frombuffer(lacing, np.uint8)
         ends = np.flatnonzero(values < 255)
         upto = np.cumsum(values, dtype=np.int64)
         for e in ends:
             stop = int(upto[e])
-            s.packets.append((have or b"") + body[at:stop])
-            at, have = stop, None
-        if len(values) and values[-1] == 255:
+            if not tail:
+                s.packets.append((have or b"") + body[at:stop])
+            at, have, tail = stop, None, False
+        if len(values) and values[-1] == 255 and not tail:
             have = (have or b"") + body[at:]
         s._open = have
         # the page's position belongs to the last packet that ends on it; those before follow from their sizes
@@ -137,11 +161,13 @@ def demux(data: bytes) -> dict[int, Stream]:
             g = granule
             for i in range(len(new) - 1, -1, -1):
                 s.granules[own + i] = g
-                g -= 0 if own + i == 0 else len(new[i])
+                g -= 0 if number == 0 and i == 0 else len(new[i])  # a header has no samples
         s.ended = bool(flags & LAST)
     for serial, s in out.items():
         if s._open is not None or not s.ended:
-            raise OggError(f"stream {serial} is cut short")
+            if not resync:
+                raise OggError(f"stream {serial} is cut short")
+            s.gaps, s._open = s.gaps + 1, None
     return out
 
 

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataform.llm import components, covertree, line_dedup, simhash, suffix_dedup
+from strataform.llm import components, covertree, line_dedup, quality, simhash, suffix_dedup
+from strataform.llm.common import fold
 
 
 def brute_top(ids, x, query, k):
@@ -429,12 +430,15 @@ def test_no_python_in_native_plans(docs):
 
 def test_pipeline_stages_against_brute_force(spark, docs):
     import corpus_pipeline as C
-    from test_text_operators import brute_secrets
+    from test_text_operators import brute_secrets, plain_score
 
     now = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null and text is not null").cache()
     stages = dict(C.STAGES)
     scored = stages["quality classifier"](spark, now, "/root/testdata/sf0.001").cache()
     assert scored.columns == now.columns and 0.5 * now.count() < scored.count() < now.count()
+    model = quality.fit_quality(now, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
+    want = Counter(tuple(r) for r in now.select("doc_id", "text").collect() if plain_score(model, r.text) >= 0.5)
+    assert Counter(tuple(r) for r in scored.select("doc_id", "text").collect()) == want
     lines = stages["line dedup"](spark, scored, "").cache()
     rows = [(r.doc_id, r.text) for r in scored.select("doc_id", "text").collect()]
     want = Counter()
@@ -443,10 +447,10 @@ def test_pipeline_stages_against_brute_force(spark, docs):
             want[k, digest] += 1
     assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in lines.collect()) == want
     alone = stages["SimHash near-dedup"](spark, lines, "").cache()
-    groups = defaultdict(set)
-    for r in simhash.similar_documents(lines).collect():
-        groups[r.component_id].add(r.doc_id)
-    assert {r.doc_id for r in alone.collect()} == {min(g) for g in groups.values()}
+    before = [(r.doc_id, r.text) for r in lines.select("doc_id", "text").distinct().collect()]
+    root = brute_components(sorted(before))
+    assert Counter(r.doc_id for r in alone.collect()) == Counter(r.doc_id for r in lines.collect() if root[r.doc_id] == r.doc_id)
+    assert 0 < alone.count() < lines.count()
     clean = stages["secret scans"](spark, alone, "").cache()
     assert clean.columns == now.columns and clean.count() == alone.count()
     before = {r.doc_id: r.text for r in alone.collect()}
@@ -468,6 +472,19 @@ def kept(rows, key, text):
     return "\n".join(x for i, x in enumerate(lines) if i not in gone)
 
 
+def test_recall_of_the_near_duplicate_stage_by_similarity(spark):
+    """Of made-up pairs of each similarity, all from 0.8 on lose one document, and none below does."""
+    import corpus_pipeline as C
+
+    bands = {0.75: (150, 25), 0.8: (160, 20), 0.85: (170, 15), 0.9: (180, 10), 0.97: (194, 3)}
+    rows = [(10_000 * b + k, text) for b, band in enumerate(bands.values()) for k, text in similar_pairs([band] * 100, b)]
+    docs_ = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = {r.doc_id for r in C.near_copies(spark, docs_, "").collect()}
+    gone = {s: sum(10_000 * b + 2 * i + 1 not in left for i in range(100)) for b, s in enumerate(bands)}
+    assert gone == {0.75: 0, 0.8: 100, 0.85: 100, 0.9: 100, 0.97: 100}
+    assert all(10_000 * b + 2 * i in left for b in range(len(bands)) for i in range(100))
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as C
 

@@ -105,6 +105,69 @@ def test_ogg_checks():
         ogg.demux(page)  # a stream without its end
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40_000), st.integers(1, 3), st.sampled_from([254, 1920, 30_000]), st.integers(0, 10**6))
+def test_ogg_goes_on_after_an_unsound_page(size, streams, packet, seed):
+    """One broken byte costs the packets of its page and no others; what is left keeps its granules."""
+    r = np.random.default_rng(seed)
+    data = ogg.mux(r.bytes(size), streams, packet)
+    whole = ogg.demux(data)
+    broken = bytearray(data)
+    broken[int(r.integers(len(data)))] ^= 1 + int(r.integers(255))
+    junk = bytes(broken) + b"OggS and more"
+    with pytest.raises(ogg.OggError):
+        ogg.demux(junk)
+    back = ogg.demux(junk, resync=True)
+    lost = 0
+    for serial, s in whole.items():
+        have = list(zip(s.granules, s.packets))
+        kept = list(zip(back[serial].granules, back[serial].packets)) if serial in back else []
+        assert [x for x in have if x in kept] == kept
+        lost += len(have) - len(kept)
+        assert serial not in back or len(kept) == len(have) or back[serial].gaps
+    assert lost <= 257
+
+
+def plain_ogg(payload, streams=2, packet=1920):
+    """Pages as RFC 3533 has them, byte by byte: each stream's header on its own page, then its packets; streams take turns by page."""
+    pages = []
+    for s in range(streams):
+        mine = [payload[a : a + packet] for a in range(0, len(payload), packet)][s::streams]
+        values = [(16, 0, ogg.SAMPLES.pack(ogg.MAGIC, streams, 8, ogg.RATE), True)]
+        lines, total = [[values[0]]], 0
+        segments = []
+        for p in mine:
+            total += len(p)
+            pieces = [p[i : i + 255] for i in range(0, len(p), 255)]
+            if len(p) % 255 == 0:
+                pieces.append(b"")
+            segments += [(len(x), total, x, i == len(pieces) - 1) for i, x in enumerate(pieces)]
+        lines += [segments[i : i + 255] for i in range(0, len(segments), 255)]
+        own, open_ = [], False
+        for number, line in enumerate(lines):
+            ended = [g for _, g, _, last in line if last]
+            flags = (1 if open_ else 0) | (2 if number == 0 else 0) | (4 if number == len(lines) - 1 else 0)
+            head = b"OggS\0" + bytes([flags]) + (ended[-1] if ended else -1).to_bytes(8, "little", signed=True) + (s + 1).to_bytes(4, "little") + number.to_bytes(4, "little")
+            rest = bytes([len(line)]) + bytes(n for n, *_ in line) + b"".join(x for _, _, x, _ in line)
+            own.append(head + slow_crc(head + bytes(4) + rest).to_bytes(4, "little") + rest)
+            open_ = not line[-1][3]
+        pages.append(own)
+    return b"".join(p[i] for i in range(max(map(len, pages))) for p in pages if i < len(p))
+
+
+@pytest.mark.parametrize("size", [192, 1920, 1920 * 2, 1920 * 3 + 192, 255 * 192, 70_080])
+def test_ogg_bytes_against_a_plain_writer(size):
+    payload = np.random.default_rng(size).bytes(size)
+    media = ogg.mux(payload)
+    assert media == plain_ogg(payload)
+    _, streams, rate = ogg.read_payload(media)
+    x = np.frombuffer(payload, np.uint8).astype(float)
+    parts = dict(p.split("=") for p in ogg.features(payload, streams, rate).split(";"))
+    assert parts["streams"] == "2" and int(parts["packets"]) == 2 + -(-size // 1920) and int(parts["pages"]) == media.count(b"OggS")
+    assert abs(float(parts["mean"]) - x.mean()) < 1e-5 and abs(float(parts["dev"]) - x.std()) < 1e-4
+    assert sum(float(v) for v in parts["seconds"].split(",")) == pytest.approx(size / 8000, abs=1e-5)
+
+
 def test_ogg_in_spark(docs, rows, none):
     got = ogg.media_digests(docs).collect()
     assert len(got) == len(rows)
