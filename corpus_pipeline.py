@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that is written as
-Parquet and read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+Parquet and read again as the next stage's ``docs``. All but the last return the columns of ``documents``. Null texts count as empty,
+repeated rows stay repeated unless a stage says otherwise, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group alike in shingles of five words, by 0.8 or more; rows without an id stay."""
+    """Keep the document with the smallest id of each group alike in shingles of five words, by 0.8 or more.
+
+    Rows without an id stay. Rows that repeat an id are one document: they stay together, or go together if any of them is alike to a document with a smaller id.
+    """
     groups = similar_documents(docs, words=5, similarity=0.8).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
