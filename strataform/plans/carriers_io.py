@@ -115,6 +115,40 @@ def p17_shorten_on_overflow(spark, sf):
     return P.shorten_until(t(spark, sf, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"], attempt, 36)
 
 
+@query("""
+WITH v AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)
+SELECT r_name AS table_id, CAST(0 AS INTEGER) AS col, 'key' AS name, CAST(r AS INTEGER) AS "row", CAST(n_nationkey AS VARCHAR) AS value FROM v JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, 1, 'name', CAST(r AS INTEGER), CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END FROM v JOIN region ON n_regionkey = r_regionkey""")
+def s9_column_json(spark, sf):
+    n, r = t(spark, sf, "nation"), t(spark, sf, "region")
+    lists = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.when(col("n_nationkey") % 3 > 0, col("n_name")).alias("n")))).alias("v"))
+    own = lambda i, name, values: F.struct(lit(i).alias("index"), lit(name).alias("name"), values.alias("values"))
+    columns = F.array(own(0, "key", F.transform("v", lambda x: x["n_nationkey"].cast("string"))), own(1, "name", F.transform("v", lambda x: x["n"])))
+    one = lists.join(r, lists["n_regionkey"] == r["r_regionkey"]).select(F.struct(lit(1).alias("version"), F.struct(lit(1).alias("version"), col("r_name").alias("table_id"), columns.alias("columns")).alias("table")).alias("x"))
+    path = folder(spark, "columns")
+    one.groupBy().agg(F.to_json(F.collect_list("x"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return T.read_column_json(spark, path).select("table_id", "col", "name", "row", "value")
+
+
+@query("""
+WITH b AS (SELECT c_custkey AS r, CAST(c_nationkey AS VARCHAR) AS a, c_mktsegment AS b FROM customer WHERE c_mktsegment <> '')
+SELECT 't' AS table_id, CAST(r AS INTEGER) AS "row", CAST(0 AS INTEGER) AS range, CAST(1 AS INTEGER) AS col, 'Nation' AS top, 'id' AS sub, a AS value FROM b UNION ALL SELECT 't', CAST(r AS INTEGER), 0, 2, 'Segment', 'name', b FROM b""")
+def p4_headers_to_rows(spark, sf):
+    c = t(spark, sf, "customer")
+    body = c.select((col("c_custkey") + 2).cast("int").alias("row"), F.posexplode(F.array(col("c_custkey").cast("string"), col("c_nationkey").cast("string"), col("c_mktsegment"))).alias("col", "value"))
+    heads = spark.createDataFrame([(0, 0, ""), (0, 1, "Nation"), (0, 2, "Segment"), (1, 0, "key"), (1, 1, "id"), (1, 2, "name")], "row int, col int, value string")
+    cells = heads.unionByName(body).select(lit("t").alias("table_id"), "row", "col", lit("content").alias("kind"), "value")
+    out = P.headers_to_rows(cells, [{"row": 0, "cols": (1, 2)}, {"row": 1, "cols": (1, 2)}], 2)
+    return out.select("table_id", "row", "range", "col", col("attributes")["row0"].alias("top"), col("attributes")["row1"].alias("sub"), "value")
+
+
+@query("SELECT round(avg(c_acctbal), 6) AS precision, round(avg(c_nationkey), 6) AS recall, CAST(round(avg(c_custkey), 6) AS DOUBLE) AS f1 FROM customer")
+def a12_macro_average(spark, sf):
+    scores = t(spark, sf, "customer").select(col("c_acctbal").alias("precision"), col("c_nationkey").alias("recall"), col("c_custkey").alias("f1"))
+    done = A.macro_average(scores)
+    return done.select(*(F.round(c, 6).alias(c) for c in done.columns))
+
+
 # ---- documents with layouts -----------------------------------------------------------------------------------------
 
 
