@@ -164,7 +164,7 @@ def p5_repeated_blocks(spark, sf):
 
     k = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int")
     o = t(spark, sf, "orders").withColumn("k", k)
-    blocks = o.agg(F.max("k")).first()[0] // 2 + 1
+    blocks = (o.agg(F.max("k")).first()[0] or 0) // 2 + 1
     body = o.select((col("o_custkey") + 1).cast("int").alias("row"), (col("k") + 1).alias("col"), col("o_orderpriority").alias("value"))
     keys = o.select("o_custkey").distinct().select((col("o_custkey") + 1).cast("int").alias("row"), lit(0).alias("col"), col("o_custkey").cast("string").alias("value"))
     heads = spark.createDataFrame([(0, 1 + 2 * b, f"block {b}") for b in range(blocks)], "row int, col int, value string")

@@ -7,8 +7,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,27 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], **options: str) ->
     return spark.read.options(**(_TEXT | tab | options)).csv(paths, header=True).na.fill("")
 
 
-def read_raw_cells(spark: SparkSession, path: str | Sequence[str], **options: str) -> DataFrame:
-    """Cells of files without any header: table_id (the file), row, col, kind ``content``, value; blank cells are ``""``.
+def read_raw_cells(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
+    """Cells of files without any header: table_id (the file), row, col, kind ``content``, value; blank cells are ``""``, blank lines are no rows.
 
-    A row's number comes from its place in the file, so each file is read whole: many small files, not one huge one.
+    A row's number comes from its place in the file, so each file is parsed whole, by one task; files are spread over tasks. Rows are filled up to
+    the widest of their file.
     """
-    df = spark.read.options(**(_TEXT | options)).csv(path if isinstance(path, str) else list(path), header=False).na.fill("")
-    values = F.array(*(F.col(c) for c in df.columns))
-    place = df.select(F.input_file_name().alias("table_id"), F.monotonically_increasing_id().alias("__at"), values.alias("__values"))
-    row = F.row_number().over(Window.partitionBy("table_id").orderBy("__at")) - 1
-    return place.withColumn("row", row).select("table_id", "row", F.posexplode("__values").alias("col", "value")).select(
-        "table_id", "row", "col", F.lit("content").alias("kind"), "value"
-    )
+    files = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_path").alias("table_id"), "value")
+    kinds = {"table_id": pa.string(), "row": pa.int32(), "col": pa.int32(), "kind": pa.string(), "value": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if r]
+                wide = max(map(len, rows), default=0)
+                for at in range(0, len(rows), 4096):
+                    part = rows[at : at + 4096]
+                    cells = [(name, at + i, j, "content", r[j] if j < len(r) else "") for i, r in enumerate(part) for j in range(wide)]
+                    columns = zip(*cells, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return files.mapInArrow(run, "table_id string, row int, col int, kind string, value string")
 
 
 def pick_table(cells: DataFrame, index: int) -> DataFrame:
