@@ -30,7 +30,7 @@ SHARD, HOT, LEAF = 2048, 8192, 16
 #: the similarity asked for, and bits beyond the radius, as fingerprints spread around a similarity. PAIRS: pairs a task holds before it thins them. BINS: counts of shingles by hash.
 #: Shingles that COMMON of about SAMPLE documents have come last in the order of the exact filter, at most MOST of them.
 SKETCH, BANDS, ROWS, SLACK, SPREAD, PAIRS, BINS = 80, 10, 4, 0.08, 2, 1 << 21, 128
-SAMPLE, COMMON, MOST, BATCH = 8192, 4, 100_000, 1 << 16
+SAMPLE, COMMON, MOST, BATCH, QUERIES = 8192, 4, 100_000, 1 << 16, 64
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -194,36 +194,74 @@ def strongest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nd
     return np.concatenate(kept)
 
 
-def leaders(bytes_: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(leader of each row, equal bytes with it): a row follows the first leader that agrees in ``least`` of its bytes, or leads."""
-    lead, equal = np.arange(len(bytes_)), np.full(len(bytes_), bytes_.shape[1], np.int64)
-    left = np.arange(len(bytes_))
-    while len(left):
-        same = (bytes_[left] == bytes_[left[0]]).sum(axis=1)
-        near = same >= least
-        lead[left[near]], equal[left[near]] = left[0], same[near]
-        left = left[~near]
-    return lead, equal
+class _Alike:
+    """Pairs of rows whose fingerprints differ in ``radius`` bits at most and whose sketches agree in ``least`` bytes or more."""
+
+    def __init__(self, prints: np.ndarray, sketches: np.ndarray, radius: int, least: float):
+        self.prints, self.sketches, self.radius, self.least = prints, sketches, radius, least
+
+    def pairs(self, queries: np.ndarray, rows: np.ndarray, tree: BkTree, of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, equal bytes) in blocks; ``rows[of]`` are sorted by their place among the tree's fingerprints, which begin at ``first``."""
+        sizes = np.diff(first)
+        for q, t in tree.within(self.prints[queries], self.radius):
+            ends = np.cumsum(sizes[t])
+            at = 0
+            while at < len(q):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, side="right")))
+                n = sizes[t[at:stop]]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                x, y = np.repeat(queries[q[at:stop]], n), rows[of[np.repeat(first[t[at:stop]], n) + step]]
+                for cut in range(0, len(x), BATCH):  # one fingerprint may have more rows than that
+                    u, v = x[cut : cut + BATCH], y[cut : cut + BATCH]
+                    equal = (self.sketches[u] == self.sketches[v]).sum(axis=1)
+                    ok = (equal >= self.least) & (u != v)
+                    yield u[ok], v[ok], equal[ok].astype(np.uint8)
+                at = stop
+
+    def index(self, rows: np.ndarray) -> tuple[BkTree, np.ndarray, np.ndarray]:
+        fps, place, sizes = np.unique(self.prints[rows], return_inverse=True, return_counts=True)
+        return BkTree(fps), np.argsort(place, kind="stable"), np.concatenate([[0], np.cumsum(sizes)])
+
+    def gather(self, rows: np.ndarray, take) -> np.ndarray:
+        """One row of each group that links connect. ``take`` gets enough of the links; a row that is found is no query any more, so many rows alike cost a search each for the first few only."""
+        if len(rows) < 2:
+            return rows
+        index, found, place = self.index(rows), Forest(len(rows)), np.empty(int(rows.max()) + 1, np.int64)
+        place[rows] = np.arange(len(rows))
+        left = np.ones(len(rows), bool)
+        at = 0
+        while at < len(rows):
+            queries = at + np.flatnonzero(left[at : at + QUERIES])
+            at += QUERIES
+            left[queries] = False
+            for x, y, equal in self.pairs(rows[queries], rows, *index) if len(queries) else ():
+                take(x, y, equal)
+                found.link(place[x], place[y])
+                left[place[y]] = False
+        return rows[np.unique(found.settle())]
+
+    def across(self, one: np.ndarray, two: np.ndarray, take) -> None:
+        if len(one) and len(two):
+            for x, y, equal in self.pairs(two, one, *self.index(one)):
+                take(x, y, equal)
 
 
 def _similar(radius: int, least: float):
-    """Links to be confirmed: rows of one key and fingerprint follow leaders, and leaders of near fingerprints are compared."""
+    """Links to be confirmed, among rows of one key: within a part, or between groups of two parts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "part", "fp", "node"], kind="stable")
+        group = group.sort_values(["key", "part", "node"], kind="stable")
         node, print_, part, key = (group[c].to_numpy() for c in ("node", "fp", "part", "key"))
-        bytes_ = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
+        alike = _Alike(print_.view(np.uint64), np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1), radius, least * SKETCH)
         # the same pair of rows may be in several bands, and a node in several rows: links go between nodes
         ids, index = np.unique(node, return_inverse=True)
-        a, b, same, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [0, 0]
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        a, b, same, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [0]
 
         def take(x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> None:
-            ok = (index[x] != index[y]) & (equal >= least * SKETCH)
-            a.append(index[x[ok]])
-            b.append(index[y[ok]])
-            same.append(equal[ok].astype(np.uint8))
-            held[0] += len(a[-1])
+            a.append(index[x])
+            b.append(index[y])
+            same.append(equal)
+            held[0] += len(x)
             if held[0] > PAIRS:
                 thin()
 
@@ -232,42 +270,16 @@ def _similar(radius: int, least: float):
             at = strongest(len(ids), x, y, w)
             a[:], b[:], same[:], held[0] = [x[at]], [y[at]], [w[at]], 0
 
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(print_) != 0), [True]]))
-        heads: list[list[tuple[int, np.ndarray]]] = [[], []]  # of the first and the last part of one key: (fingerprint, leaders)
-
-        def across() -> None:
-            alone = part.min() == part.max()
-            first, other = heads[0], heads[0] if alone else heads[1]
-            if first and other:
-                tree = BkTree(np.array([f for f, _ in first], np.int64).view(np.uint64))
-                for q, t in tree.within(np.array([f for f, _ in other], np.int64).view(np.uint64), radius):
-                    for i, j in zip(q[q > t], t[q > t]) if alone else zip(q, t):
-                        compare(other[i][1], first[j][1])
-            heads[0], heads[1] = [], []
-            compare(np.zeros(0, np.int64), np.zeros(0, np.int64), True)
-
-        def compare(x: np.ndarray, y: np.ndarray, last: bool = False) -> None:
-            for at in range(0, len(x), max(1, BATCH // max(1, len(y)))):
-                own = x[at : at + max(1, BATCH // max(1, len(y)))]
-                waiting.append((np.repeat(own, len(y)), np.tile(y, len(own))))
-                held[1] += len(waiting[-1][0])
-                if held[1] >= BATCH:
-                    flush()
-            if last and waiting:
-                flush()
-
-        def flush() -> None:
-            x, y = (np.concatenate(z) for z in zip(*waiting))
-            waiting.clear()
-            held[1] = 0
-            take(x, y, (bytes_[x] == bytes_[y]).sum(axis=1))
-
-        for lo, hi in zip(new[:-1], new[1:]):
-            lead, equal = leaders(bytes_[lo:hi], least * SKETCH)
-            take(np.arange(lo, hi), lo + lead, equal)
-            heads[int(part[lo] != part.min())].append((int(print_[lo]), lo + np.unique(lead)))
-            if hi == len(key) or key[hi] != key[lo]:
-                across()
+        alone = part.min() == part.max()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            rows = np.arange(lo, hi)
+            if alone:
+                alike.gather(rows, take)
+                continue
+            low = part[lo:hi] == part.min()
+            if low.any() and not low.all():  # links within a part are that part's own task
+                alike.across(*(alike.gather(rows[x], lambda *_: None) for x in (low, ~low)), take)
         thin()
         return pd.DataFrame({"u": ids[np.maximum(a[0], b[0])], "v": ids[np.minimum(a[0], b[0])]})
 

@@ -153,6 +153,40 @@ def test_links_within_frequent_blocks(spark, monkeypatch):
     assert reachable(len(prints), [tuple(x) for x in links]) == want and len(set(want)) < len(prints) - 300
 
 
+def test_rows_alike_are_searched_a_few_times(monkeypatch):
+    """Ten thousand near copies of one key, each with a fingerprint of its own: work in proportion to rows, and all connected."""
+    r = np.random.default_rng(9)
+    n = 10_000
+    prints = np.array([sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for _ in range(n)], np.uint64)
+    sketches = np.tile(r.integers(0, 256, 80, np.uint8), (n, 1))
+    sketches[np.arange(n), r.integers(0, 80, n)] ^= 1
+    alike = simhash._Alike(prints, sketches, 14, 57.6)
+    links = []
+    assert len(alike.gather(np.arange(n), lambda x, y, e: links.append((x, y)))) == 1
+    assert sum(len(x) for x, _ in links) <= 2 * simhash.QUERIES * n
+    two = np.arange(0, n, 2), np.arange(1, n, 2)
+    seen = []
+    alike.across(*(alike.gather(x, lambda *_: None) for x in two), lambda x, y, e: seen.append(len(x)))
+    assert sum(seen) == 1
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 200), st.sampled_from([2, 5, 200]))
+def test_groups_alike_against_brute_force(seed, n, kinds):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 4, (kinds, 80), np.uint8)
+    of = r.integers(0, kinds, n)
+    sketches = np.where(r.random((n, 80)) < 0.1, r.integers(0, 4, (n, 80), np.uint8), base[of])
+    prints = r.integers(0, 1 << 63, kinds, np.uint64)[of] ^ np.where(r.random(n) < 0.5, 0, 1 << r.integers(0, 63, n)).astype(np.uint64)
+    alike = simhash._Alike(prints, sketches, 3, 60.0)
+    ok = lambda i, j: int(prints[i] ^ prints[j]).bit_count() <= 3 and (sketches[i] == sketches[j]).sum() >= 60
+    links = []
+    alike.gather(np.arange(n), lambda x, y, e: links.extend(zip(x.tolist(), y.tolist(), e.tolist())))
+    assert all(ok(i, j) and e == (sketches[i] == sketches[j]).sum() for i, j, e in links)
+    linked = {i for i, j, _ in links} | {j for i, j, _ in links}
+    assert linked == {i for i in range(n) for j in range(n) if i != j and ok(i, j)}
+
+
 def test_boilerplate_of_one_fingerprint(spark, none):
     """Thousands of texts that differ in one word: a link each, not each with each."""
     words = [f"word{i}" for i in range(400)]
@@ -428,6 +462,31 @@ def test_no_python_in_native_plans(docs):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_reserved_names_are_refused(docs):
+    from strataform.llm import packing, secret_scan
+
+    odd = docs.withColumn("__x", F.lit(1))
+    for apply in (line_dedup.dedup_lines, suffix_dedup.drop_repeats, secret_scan.scan_secrets, lambda df: packing.best_fit_pack(df, 8, ["doc_id"])):
+        with pytest.raises(ValueError, match="__x"):
+            apply(odd)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from strataform.llm.common import shared_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda name, default=None: default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda name: folder)))
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://shared/")) == "hdfs://shared"
+    assert shared_dir(session("local[4]")) == shared_dir(session("local")) != ""
+
+
 def test_pipeline_stages_against_brute_force(spark, docs):
     import corpus_pipeline as C
     from test_text_operators import brute_secrets, plain_score
