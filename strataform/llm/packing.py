@@ -4,7 +4,7 @@ The solver sees only how many pieces there are of each length (``capacity`` numb
 corpus). Single lengths, sums of two and sums of three are indexed by their total. Lengths are taken from the longest down. For the gap that a piece
 leaves, the index gives one, two or three available lengths with exactly that sum; such a combination is used as often as the counts allow. What finds no
 exact complement is packed by best fit, longest first. Pieces as long as a sequence need no place in the plan. The plan says, for each other length, which ranks go to which
-sequences; pieces get their rank within (length, salt) by a window, with as many salts as the length has ``SALTED`` pieces.
+sequences; pieces get their rank within (length, salt) by a window, with as many salts as the length has groups of ``GROUP`` pieces or more.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, no_reserved, written
 
-SALTED = 50_000
+#: Pieces of one length that are ranked together: GROUP at least, and so many that there are about GROUPS groups at most.
+GROUP, GROUPS = 500, 65_536
 
 
 class Complements:
@@ -156,7 +157,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int, order: list[str], length: st
     ``order`` names columns that tell rows apart; rows equal in them are placed in any order among themselves. Existing
     columns with the names of the results are replaced; names that begin with ``__`` raise an error. Lengths outside 1..capacity, or null, raise an error: cut longer
     pieces first. An empty input gives an empty result. ``pieces`` is read several times, so it should be a written table. The driver
-    gets a count for each length, and one for each ``SALTED`` pieces. Ids of full sequences are negative.
+    gets a count for each length, and one for each group, of which there are ``GROUPS`` and one a length at most. Ids of full sequences are negative.
     """
     kept = no_reserved(pieces).drop("sequence_id", "offset")
     bad = f"{length} is null or {length} < 1 or {length} > {capacity}"
@@ -166,7 +167,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int, order: list[str], length: st
         counts[r["__n"]] = r["count"]
     partial = counts.copy()
     partial[capacity] = 0
-    salts = np.maximum(-(-partial // SALTED), 1)
+    size = max(GROUP, -(-int(partial.sum()) // GROUPS))
+    salts = np.maximum(-(-partial // size), 1)
     begin = np.cumsum(salts) - salts  # the place of a length's first salt among all
     own = F.element_at(F.array(*map(F.lit, salts.tolist())), F.col("__n") + 1)
     salted = sized.where(f"__n < {capacity}").withColumn("__salt", F.pmod(F.xxhash64(*order), own).cast("int"))

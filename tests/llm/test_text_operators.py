@@ -302,7 +302,7 @@ def test_exact_complements_come_first():
 
 def test_packing_salts_and_full_pieces(spark, monkeypatch):
     """A frequent length is ranked in many groups, and full pieces are not ranked at all."""
-    monkeypatch.setattr(packing, "SALTED", 20)
+    monkeypatch.setattr(packing, "GROUP", 20)
     r = np.random.default_rng(0)
     rows = [(i, int(n), "mine") for i, n in enumerate([*[64] * 300, *[30] * 200, *[34] * 150, *r.integers(1, 65, 300)])]
     df = spark.createDataFrame(rows, "id long, length int, offset string").repartition(3)
