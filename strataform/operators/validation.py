@@ -16,6 +16,8 @@ from ..functions.values import FLOATS, DECIMALS, INTEGERS, parse_decimal, parse_
 
 SH, XSD = "http://www.w3.org/ns/shacl#", NAMESPACES["xsd"]
 RULE = "shape string, class string, path string, kind string, arg string, severity string, message string"
+#: As many rules at most are broadcast; shapes of an ontology are far fewer.
+RULES = 10_000
 KINDS = ("datatype", "minCount", "maxCount", "minInclusive", "maxInclusive", "class", "nodeKind")
 #: Rules over several properties: (class, kind, properties, severity, message).
 CROSS_RULES = [
@@ -69,15 +71,21 @@ def _literal_fits(value: Column, datatype: Column) -> Column:
 
 
 def check_properties(triples: DataFrame, rules: DataFrame) -> DataFrame:
-    """focus, path, rule, severity, message of every broken property rule."""
+    """focus, path, rule, severity, message of every broken property rule.
+
+    Sizes of exploded triples are estimated far too low, and those of rules from code far too high, so joins get their strategies here: rules are
+    counted and broadcast, all that grows with the triples is merged.
+    """
+    few = rules.limit(RULES + 1).count() <= RULES
+    rules = F.broadcast(rules) if few else rules.hint("merge")
     typed = triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("focus"), F.col("o").alias("class")).distinct()
     scoped = typed.join(rules, "class")
     values = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "datatype")
     counted = scoped.where(F.col("kind").isin("minCount", "maxCount"))
-    counts = counted.join(values.groupBy("focus", "path").agg(F.count("*").alias("n")), ["focus", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = counted.join(values.groupBy("focus", "path").agg(F.count("*").alias("n")).hint("merge"), ["focus", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     number = F.col("arg").try_cast("double")
     by_count = counts.where(((F.col("kind") == "minCount") & (F.col("n") < number)) | ((F.col("kind") == "maxCount") & (F.col("n") > number)))
-    valued = scoped.where(~F.col("kind").isin("minCount", "maxCount")).join(values, ["focus", "path"])
+    valued = scoped.where(~F.col("kind").isin("minCount", "maxCount")).join(values.hint("merge"), ["focus", "path"])
     typed_as = F.coalesce("datatype", F.lit(XSD + "string"))
     real = parse_decimal(F.col("o"))
     wrong = (
@@ -88,7 +96,7 @@ def check_properties(triples: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     by_value = valued.where(wrong)
-    by_class = valued.where(F.col("kind") == "class").join(typed.select(F.col("focus").alias("o"), F.col("class").alias("arg")), ["o", "arg"], "left_anti")
+    by_class = valued.where(F.col("kind") == "class").join(typed.select(F.col("focus").alias("o"), F.col("class").alias("arg")).hint("merge"), ["o", "arg"], "left_anti")
     out = [F.col("focus"), F.col("path"), F.col("kind").alias("rule"), F.col("severity"), F.col("message")]
     return by_count.select(*out).unionByName(by_value.select(*out)).unionByName(by_class.select(*out))
 

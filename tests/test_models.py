@@ -173,3 +173,24 @@ def test_labeller(spark):
     assert best == {0: "grade", 1: "name", 2: "year"}
     asked = L.ask_types(cells.groupBy("table_id", "col_index", "column").agg(F.collect_list("value").alias("values")), lambda name, values: name if name != "year" else None, training.select("class", "prop").distinct())
     assert {r.col_index for r in asked.collect()} == {0, 1}
+
+
+def test_rules_broadcast_nothing_that_grows(spark, tmp_path):
+    from strataform.plans import QUERIES
+
+    spark.range(100).selectExpr("id as o_orderkey", "'F' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("v10_property_rules", "v11_minCount", "v13_class"):
+        depth, plan = None, QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "FileScan" in plan
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            depth = at if "BroadcastExchange" in line else None if depth is not None and at <= depth else depth
+            assert depth is None or "FileScan" not in line, name
+
+
+def test_many_rules_are_merged(spark, monkeypatch):
+    triples = spark.createDataFrame([("a", C.RDF_TYPE, "http://C", "uri", None, None)], TTL.TRIPLE)
+    rules = spark.createDataFrame([("s", "http://C", f"http://p{i}", "minCount", "1", "Violation", "m") for i in range(5)], C.RULE)
+    monkeypatch.setattr(C, "RULES", 4)
+    found = C.check_properties(triples, rules)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
