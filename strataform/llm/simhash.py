@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import discard, map_arrow, written
 from .components import connected_components
 
 SHARD, HOT, LEAF = 2048, 8192, 16
@@ -31,6 +31,8 @@ SHARD, HOT, LEAF = 2048, 8192, 16
 #: Shingles that COMMON of about SAMPLE documents have come last in the order of the exact filter, at most MOST of them.
 SKETCH, BANDS, ROWS, SLACK, SPREAD, PAIRS, BINS = 80, 10, 4, 0.08, 2, 1 << 21, 128
 SAMPLE, COMMON, MOST, BATCH, QUERIES = 8192, 4, 100_000, 1 << 16, 64
+#: Bits of the map of ids that pairs name, 2 MB whatever the corpus. Ids that share a bit cost a text sent in vain.
+SLOTS = 1 << 24
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -296,6 +298,35 @@ def bins(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def fine_bins(hashes: np.ndarray) -> bytes:
+    """As ``bins``, with as many bins (a power of two) as leave 8 to 16 hashes in one: in few bins, long texts have like counts whatever they say."""
+    size = max(BINS, 1 << max(0, (len(hashes) // 8).bit_length() - 1))
+    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % size, minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """In how many hashes two sets differ at least, by their ``fine_bins``; the longer is folded."""
+    x, y = (np.frombuffer(b, np.uint8).astype(np.int64) for b in (one, two))
+    size = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, size).sum(axis=0) - y.reshape(-1, size).sum(axis=0)).sum())
+
+
+def not_apart(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) of nodes whose sizes and fine bins allow ``similarity``: none that has it is lost, and most others cost no text."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        u, v = [], []
+        for one, two, n, m, x, y in zip(*(batch[c] for c in ("u", "v", "n", "m", "x", "y"))):
+            if apart(x, y) * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6:
+                u.append(one)
+                v.append(two)
+        return {"u": u, "v": v}
+
+    of = lambda node, n, fine: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("fine").alias(fine))
+    asked = written(pairs.distinct(), "proposed").join(of("u", "n", "x"), "u").join(of("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+    return map_arrow(asked, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
 def common_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
     """Hashes, sorted, of shingles found in ``COMMON`` documents of a sample. What it misses costs time only: any order of shingles is exact."""
     some = max(1, df.count() // SAMPLE)
@@ -341,6 +372,16 @@ def _crossing(similarity: float):
     return run
 
 
+def named_in(texts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``key`` is an end of ``pairs`` (u, v), and a few others: sorted out by a map of bits before anything is shuffled."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("end")).select(at("end").alias("at"))
+    bits = ends.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    placed = texts.withColumn("__bucket", F.bitmap_bucket_number(at(key))).withColumn("__bit", F.bitmap_bit_position(at(key)))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int), cast(__bit % 8 as int)) & 1 = 1")
+    return placed.join(F.broadcast(bits), "__bucket").where(is_set).select(*texts.columns)
+
+
 def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (u, v) of keys of ``df`` whose texts have a Jaccard similarity of ``similarity`` or more in their distinct shingles."""
 
@@ -354,8 +395,8 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
                 v.append(two)
         return {"u": u, "v": v}
 
-    texts = lambda name, to: df.select(F.col(key).cast("long").alias(name), F.col(text).alias(to))
-    pairs = pairs.distinct()
+    pairs = written(pairs.distinct(), "pairs")  # so the files of the search are gone before texts move
+    texts = lambda name, to: named_in(df.select(F.col(key).cast("long").alias(name), F.col(text).alias(to)), name, pairs)
     asked = pairs.join(texts("u", "x"), "u").join(texts("v", "y"), "v").select("u", "v", "x", "y")
     return map_arrow(asked, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
@@ -372,7 +413,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     late = np.append(common_shingles(df, text, words), np.uint64(0))  # the last place is for hashes beyond all others
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": batch[key], **{c: [] for c in ("digest", "n", "bins", "fp", "sketch", "bands", "prefix")}}
+        out: dict[str, list] = {"key": batch[key], **{c: [] for c in ("digest", "n", "bins", "fine", "fp", "sketch", "bands", "prefix")}}
         for t in batch[text]:
             hashes = shingle_hashes(t, words)
             own = np.unique(hashes)
@@ -380,6 +421,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
             out["digest"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             out["n"].append(len(own))
             out["bins"].append(bins(own))
+            out["fine"].append(fine_bins(own))
             out["fp"].append(fingerprint(hashes))
             out["sketch"].append(packed)
             out["bands"].append(bands)
@@ -388,15 +430,22 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
         return out
 
     arrow = pa.schema([
-        ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bins", pa.binary()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
+        ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bins", pa.binary()), ("fine", pa.binary()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
     ])
-    kinds = "key long, digest binary, n int, bins binary, fp long, sketch binary, bands array<long>, prefix array<long>"
+    kinds = "key long, digest binary, n int, bins binary, fine binary, fp long, sketch binary, bands array<long>, prefix array<long>"
     rows = map_arrow(df.select(F.col(key).cast("long").alias(key), text), run, kinds, arrow)
     prints = written(rows.withColumnRenamed("key", key), "sketches")
-    nodes = written(prints.groupBy("digest").agg(F.min(key).alias("node"), *(F.min(c).alias(c) for c in ("n", "bins", "fp", "sketch", "bands", "prefix"))).where("node is not null"), "nodes")
-    shards = max(1, -(-nodes.count() * BANDS // SHARD))
-    keyed = nodes.select("node", "fp", "sketch", F.explode("bands").alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    paired = _dealt(keyed, ["shard"], "node")
+    nodes = written(prints.groupBy("digest").agg(F.min(key).alias("node"), *(F.min(c).alias(c) for c in ("n", "bins", "fine", "fp", "sketch", "bands", "prefix"))).where("node is not null"), "nodes")
+    digests = written(prints.select(key, "digest"), "digests")
+    discard(prints)
+
+    # most bands are some text's own: only those that two nodes share are sent with sketches
+    bands = nodes.select("digest", "node", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("shared"))
+    kept = bands.join(shared, bands["key"] == shared["shared"]).select(F.col("digest").alias("of"), "key")
+    keyed = written(nodes.select("digest", "node", "fp", "sketch").join(kept, F.col("digest") == F.col("of")).select("node", "fp", "sketch", "key"), "bands")
+    shards = max(1, -(-keyed.count() // SHARD))
+    paired = _dealt(keyed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), ["shard"], "node")
     links = paired.groupBy("shard", "lo", "hi").applyInPandas(_similar(radius, similarity - SLACK), "u long, v long")
     roots = connected_components(confirmed(links, df, key, text, words, similarity))
 
@@ -407,10 +456,10 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     shards = max(1, -(-crossing.count() // SHARD))
     paired = _dealt(crossing.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), ["shard"], "node")
     pairs = paired.groupBy("shard", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")
-    more = confirmed(pairs, df, key, text, words, similarity)
+    more = confirmed(not_apart(pairs, nodes, similarity), df, key, text, words, similarity)
     roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     named = nodes.join(roots, "node", "left").select(F.col("digest").alias("d"), F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, prints["digest"] == named["d"], "left").select(key, "component_id")
+    return digests.join(named, digests["digest"] == named["d"], "left").select(key, "component_id")
 
 
 def _dealt(keyed: DataFrame, by: list[str], spread: str) -> DataFrame:

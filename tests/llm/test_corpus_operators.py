@@ -549,3 +549,38 @@ def test_pipeline_runs(spark):
 
     got = C.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and "sequence_id" in got.columns
+
+
+def test_fine_bins_lose_no_pair_and_tell_long_texts_apart():
+    r = np.random.default_rng(3)
+    for n in (1, 50, 900, 2100, 4095, 4096, 30_000):
+        one, other = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.8, 0.9, 0.95, 1.0):
+            two = np.unique(np.concatenate([one[: int(len(one) * share)], other[: int(len(one) * (1 - share) / 3)]]))
+            assert simhash.apart(simhash.fine_bins(one), simhash.fine_bins(two)) <= len(np.setxor1d(one, two))
+        if n >= 900:
+            assert simhash.apart(simhash.fine_bins(one), simhash.fine_bins(other)) * 1.8 > 0.2 * 2 * n
+
+
+def test_long_texts_with_a_passage_in_common_are_not_sent(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    said = [" ".join(f"w{x}" for x in r.integers(0, 1 << 40, 20_000)) for _ in range(12)]
+    passage = [" ".join(f"p{x}" for x in r.integers(0, 1 << 40, 2_000)) for _ in range(12)]
+    texts = [f"{passage[i]} {said[i]} {passage[(i + 1) % 12]}" for i in range(12)]
+    texts.append(texts[3] + " and an end")
+    asked = []
+    plain = simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda pairs, *a: (asked.append({(r.u, r.v) for r in pairs.distinct().collect()}), plain(pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(12)}, 12: 3}
+    assert not asked[1]
+
+
+def test_tables_that_nothing_reads_any_more_go(spark):
+    from strataform.llm import common
+
+    first, second = (common.written(spark.range(3), name) for name in ("first", "second"))
+    common.discard(first)
+    assert second.count() == 3 and not any("/first-" in p for p in common._WRITTEN)
+    with pytest.raises(Exception):
+        first.count()
