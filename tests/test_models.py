@@ -194,3 +194,19 @@ def test_many_rules_are_merged(spark, monkeypatch):
     monkeypatch.setattr(C, "RULES", 4)
     found = C.check_properties(triples, rules)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
+
+
+@pytest.mark.parametrize("name", [
+    "v10_property_rules",
+])
+def test_rule_query_broadcasts_only_rules(spark, tmp_path, name):
+    import re
+
+    from strataform.plans import QUERIES
+
+    spark.range(100).selectExpr("id as o_orderkey", "'F' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan()
+    kinds = re.findall(r"(BroadcastHashJoin|BroadcastNestedLoopJoin|SortMergeJoin) .*?(Inner|LeftOuter|LeftAnti)", plan.toString())
+    merged = [how for join, how in kinds if join == "SortMergeJoin"]
+    assert sorted(merged) == ["Inner", "Inner", "LeftAnti", "LeftOuter"]  # values, those of classes, classes of objects, counts
+    assert {how for join, how in kinds if join != "SortMergeJoin"} == {"Inner"}  # rules
