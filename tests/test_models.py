@@ -200,6 +200,7 @@ def test_many_rules_are_merged(spark, monkeypatch):
     "v10_property_rules",
     "v11_maxCount",
     "v11_minCount",
+    "v12_maxInclusive",
 ])
 def test_rule_query_broadcasts_only_rules(spark, tmp_path, name):
     import re
