@@ -202,6 +202,7 @@ def test_many_rules_are_merged(spark, monkeypatch):
     "v11_minCount",
     "v12_maxInclusive",
     "v12_minInclusive",
+    "v13_class",
 ])
 def test_rule_query_broadcasts_only_rules(spark, tmp_path, name):
     import re
