@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +59,16 @@ def export_table(df: DataFrame, model: Model, outdir: str, created_by: str, row:
 
 
 def map_files(spark: SparkSession, pattern: str, outdir: str, created_by: str, links: DataFrame | None = None, merge: bool = False) -> list[str]:
-    """Records of each Turtle file that ``pattern`` matches, in a folder of its own name; the folders, in order. Each file is read once, by jobs of its own."""
+    """Records of each Turtle file that ``pattern`` matches, in a folder of its own name; the folders, in order. Each file is parsed once, by jobs of its own."""
     files = spark.read.format("binaryFile").load(pattern).select("path")  # names only: contents aren't read
     out = []
     for (name,) in sorted(map(tuple, files.collect())):
         folder = f"{outdir}/{name.rsplit('/', 1)[-1].rsplit('.', 1)[0]}"
-        write_records(to_records(read_turtle(spark, name).drop("source_file"), created_by, links, merge), folder)
+        triples = read_turtle(spark, name).drop("source_file").persist(StorageLevel.DISK_ONLY)  # records read them several times
+        try:
+            write_records(to_records(triples, created_by, links, merge), folder)
+        finally:
+            triples.unpersist()
         out.append(folder)
     return out
 

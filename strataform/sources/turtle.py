@@ -1,13 +1,14 @@
 """Turtle: a reader for the subset that ontologies and exports use, and a writer.
 
-Triples are rows ``s, p, o, o_kind (uri, bnode or literal), datatype, lang``. Files are read whole, one per task; there is no way to part a
-Turtle file, so large graphs come as many files.
+Triples are rows ``s, p, o, o_kind (uri, bnode or literal), datatype, lang``. There is no way to part a Turtle file, so one task parses a file from
+its first line to its last; it holds a batch of lines and one statement at a time, whatever the file's size. Large graphs are faster as many files.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ESCAPE = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+#: As many triples are sent on at once.
+BATCH = 20_000
 Triple = tuple[str, str, str, str, str | None, str | None]
 
 
@@ -35,31 +38,49 @@ def _unescape(text: str) -> str:
 
 
 class _Parser:
-    def __init__(self, text: str):
-        self.tokens = list(self._scan(text))
-        self.at, self.blanks = 0, 0
+    """Of texts that follow each other, each but the last ending with a line: only space and long strings go on in the next."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.tokens = self._scan(iter(texts))
+        self.ahead: tuple[str, str] | None = None
+        self.last, self.blanks = ("", ""), 0
         self.prefixes: dict[str, str] = {}
         self.base = ""
         self.out: list[Triple] = []
 
     @staticmethod
-    def _scan(text: str) -> Iterator[tuple[str, str]]:
-        at = 0
-        while at < len(text):
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise TurtleError(f"unexpected text at {at}: {text[at : at + 30]!r}")
-            if m.lastgroup != "space":
-                yield m.lastgroup, m[0]
-            at = m.end()
-        yield "end", ""
+    def _scan(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
+        before = 0
+        text = next(texts, None)
+        while text is not None:
+            at, following = 0, None
+            while at < len(text):
+                m = _TOKEN.match(text, at)
+                if text.startswith(('"""', "'''"), at) and not (m and m.lastgroup == "long"):
+                    more, size = [], len(text) - at
+                    while size > 0 and (part := next(texts, None)) is not None:  # as much again, so that long strings aren't searched too often
+                        more.append(part)
+                        size -= len(part)
+                    if more:
+                        following = text[at:] + "".join(more)
+                        break
+                if not m:
+                    raise TurtleError(f"unexpected text at {before + at}: {text[at : at + 30]!r}")
+                if m.lastgroup != "space":
+                    yield m.lastgroup, m[0]
+                at = m.end()
+            before += at
+            text = next(texts, None) if following is None else following
 
     def next(self) -> tuple[str, str]:
-        self.at += 1
-        return self.tokens[self.at - 1]
+        self.last = self.peek()
+        self.ahead = None
+        return self.last
 
     def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at]
+        if self.ahead is None:
+            self.ahead = next(self.tokens, ("end", ""))
+        return self.ahead
 
     def expect(self, mark: str) -> None:
         if self.next()[1] != mark:
@@ -134,10 +155,10 @@ class _Parser:
                 self.next()
             while self.peek()[1] == ";":
                 self.next()
-            if self.tokens[self.at - 1][1] != ";" or self.peek()[1] in (".", "]"):
+            if self.last[1] != ";" or self.peek()[1] in (".", "]"):
                 return
 
-    def parse(self) -> list[Triple]:
+    def parse(self) -> Iterator[Triple]:
         while self.peek()[0] != "end":
             kind, text = self.peek()
             word = text.lstrip("@").lower()
@@ -157,23 +178,36 @@ class _Parser:
             if self.peek()[1] != ".":
                 self.properties(subject)
             self.expect(".")
-        return self.out
+            yield from self.out
+            self.out.clear()
 
 
 def parse_turtle(text: str) -> list[Triple]:
     """The triples of a Turtle text, in order."""
-    return _Parser(text).parse()
+    return list(_Parser([text]).parse())
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """(file, text) of runs of its lines."""
+    for batch in batches:
+        for name, lines in groupby(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True), lambda x: x[0]):
+            yield name, "".join(f"{line}\n" for _, line in lines)
 
 
 def read_turtle(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Triples of Turtle files, with ``source_file``. Blank nodes are named by file, so files never share one."""
-    files = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
+    """Triples of Turtle files, with ``source_file``. Blank nodes are named by file, so files never share one. Paths may not overlap.
+
+    Lines are dealt out by file and sorted as they stand in it, so that a file is never held whole.
+    """
+    paths = path if isinstance(path, str) else list(dict.fromkeys(path))
+    lines = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    files = lines.repartition(F.col("source_file")).sortWithinPartitions("source_file", "start", "n").select("value", "source_file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                triples = parse_turtle(text)
-                columns = list(zip(*triples, strict=True)) if triples else [[]] * 6
+        for name, texts in groupby(_pieces(batches), lambda x: x[0]):
+            found = _Parser(text for _, text in texts).parse()
+            while triples := list(islice(found, BATCH)):
+                columns = zip(*triples, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([name] * len(triples), pa.string())], names=["s", "p", "o", "o_kind", "datatype", "lang", "source_file"])
 
     out = files.mapInArrow(run, TRIPLE + ", source_file string")

@@ -98,6 +98,42 @@ def test_turtle_round_trip(spark, tmp_path):
         TTL.parse_turtle("zzz:a zzz:b zzz:c .")
 
 
+def test_turtle_is_parsed_line_by_line():
+    text = '@prefix m: <http://m/> . # "\n<http://a> m:x """one\n\n"two" # three\n""" ,\n\n \'\'\'a\n"""\nb\'\'\', "", "c"\n ; m:y ( 1\n 2 ) .\n# end\n<http://b> m:z """""" .'
+    whole = TTL.parse_turtle(text)
+    assert list(TTL._Parser(text.splitlines(keepends=True)).parse()) == whole and [t[2] for t in whole[:2]] == ['one\n\n"two" # three\n', 'a\n"""\nb']
+    read = 0
+
+    def statements():
+        nonlocal read
+        for read in range(1, 1001):
+            yield f'<http://s{read}> <http://p> """{read}\n'
+            yield f'""" , {read} .\n'
+
+    triples = TTL._Parser(statements()).parse()
+    assert next(triples) == ("http://s1", "http://p", "1\n", "literal", None, None) and read < 4
+    assert sum(1 for _ in triples) == 1999
+    for bad in ('<http://a> <http://b> """c\n', "<http://a> <http://b>\n", '<http://a> <http://b> "c\n" .\n', "<http://a> <http://b> ( 1\n"):
+        with pytest.raises(TTL.TurtleError):
+            list(TTL._Parser(bad.splitlines(keepends=True)).parse())
+
+
+def test_split_turtle_file_keeps_its_order(spark, tmp_path):
+    own = [f'<http://s{i}> <http://p> """{i}\r\n.""" .\n' for i in range(2000)]
+    (tmp_path / "a.ttl").write_bytes("".join(own).encode())
+    (tmp_path / "b.ttl").write_bytes(("\n\n" + "".join(own[:3])).encode())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "1000")
+        assert spark.read.text(f"{tmp_path}/a.ttl").rdd.getNumPartitions() > 9
+        got = TTL.read_turtle(spark, f"{tmp_path}/*.ttl").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r.source_file[-5:], r.s, r.o) for r in got) == sorted([("a.ttl", f"http://s{i}", f"{i}\r\n.") for i in range(2000)] + [("b.ttl", f"http://s{i}", f"{i}\r\n.") for i in range(3)])
+
+
 def test_ontology(spark, tmp_path):
     (tmp_path / "o.ttl").write_text(ONTOLOGY)
     triples = TTL.read_turtle(spark, f"{tmp_path}/o.ttl")
